@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import quantiles, tokens
+from pagelens.llm import leaks, quantiles, tokens
 from pagelens.session import cut_lineage
 from pagelens.sources.tables import table
 
@@ -22,6 +22,7 @@ QUERIES = {
     "p2_percentiles": _percentiles,
     "p6_ids": lambda spark, d: tokens.encode(table(spark, d, "documents")),
     "p6_decoded": lambda spark, d: tokens.decode(tokens.encode(table(spark, d, "documents"))),
+    "p7_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 SQL = {
