@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import leaks, quantiles, tokens
+from pagelens.llm import leaks, personal, quantiles, tokens
 from pagelens.session import cut_lineage
 from pagelens.sources.tables import table
 
@@ -18,8 +18,14 @@ def _percentiles(spark, d):
     return quantiles.per_day_and_all([latency, run], cut_lineage)
 
 
+def _texts(spark, d):
+    return personal.units_of(table(spark, d, "documents"), table(spark, d, "dom_elements"), table(spark, d, "observations"))
+
+
 QUERIES = {
     "p2_percentiles": _percentiles,
+    "p4_found": lambda spark, d: personal.found(_texts(spark, d)),
+    "p4_redacted": lambda spark, d: personal.redacted(_texts(spark, d)),
     "p6_ids": lambda spark, d: tokens.encode(table(spark, d, "documents")),
     "p6_decoded": lambda spark, d: tokens.decode(tokens.encode(table(spark, d, "documents"))),
     "p7_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "benchmark")),
