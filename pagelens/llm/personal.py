@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from pagelens.session import cut_lineage
 
 ROUNDS = 3
-#: Share of labelled instances from which a pattern of a name counts as confident.
-SURE, LIKELY = 0.5, 0.25
+#: A part of a name is known from this evidence on (labelled / (labelled + 0.5)); a context
+#: of names is confident from this share of instances with a known given name on.
+KNOWN, CONTEXT = 0.6, 0.6
 
 # Words that seed the patterns, by type.
-TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "senor", "senora", "sr", "sra", "signor", "signora", "sig", "pan", "pani", "meneer", "mevrouw", "dhr", "mevr", "senhor", "senhora"}
+TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "senor", "senora", "sr", "sra", "signor", "signora", "sig", "pan", "pani", "господин", "госпожа", "пользователю", "meneer", "mevrouw", "dhr", "mevr", "senhor", "senhora"}
 PHONE_WORDS = {"tel", "phone", "telephone", "telefon", "telefonisch", "telefoon", "mobile", "cell", "call", "sms", "appelez", "llame"}
 ID_WORDS = {"ssn", "passport", "dni", "nie", "ausweis", "ausweisnummer", "personalausweis", "pesel", "identiteitsnummer", "cidadao", "identidad", "dowodu", "удостоверения", "identita", "sociale", "security", "identite"}
-OTHER_WORDS = {"order", "ref", "sku", "build", "ts", "bbox", "cycle", "sha", "px", "ocr", "el", "lane", "conf", "step", "http", "https", "v"}
+OTHER_WORDS = {"order", "ref", "sku", "build", "ts", "bbox", "cycle", "sha", "px"}
 #: Words no name starts with or consists of, in the languages of the texts.
 FUNCTION_WORDS = frozenset(
     "a an and are as at by das de dem den der des die do du een ein eine einen el en er es for from het i il im in is it je la las le les lo los mit na nach no non o of on or os para por que se si the to u un una und une von was we wir y you z zu"
@@ -52,18 +53,18 @@ _PART = r"[^\W\d_](?:[^\W\d_]|['’\u0300-\u036f-])*"
 _ADDRESSES = [
     re.compile(rf"(?<![\w./-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|impasse|allée|allee|chemin|quai|route)\s+(?:(?:de\s+la|des|du|de)\s+|d['’]|l['’])?({_PART})"),
     re.compile(rf"(?<![\w./-])\d{{1,4}}[a-z]?\s+({_PART})\s+(?:{_PART}\s+)?(?:street|st\.|st\b|avenue|ave|road|rd|lane|drive|court|boulevard|blvd|crescent|square|terrace|way)(?:(?<=\.)|(?!\w))"),
-    re.compile(rf"(?<!\w)(?=[acelopruv])(?:c/|calle|plaza|avda\.?|avenida|paseo|camino|rua|travessa|praça|praca|largo|estrada|via|viale|piazza|corso|vicolo|ul\.|al\.|pl\.|os\.|ulica|aleja|plac)\s*(?:d[aeo]s?\s+|del(?:la)?\s+|de\s+la\s+)?({_PART})(?:\s+{_PART})?,?\s+(?:n\.?\s?[º°]\s?)?\d{{1,4}}[a-z]?(?![\w-])"),
-    re.compile(rf"(?<!\w)(?:ул\.|улица|пр\.|пр-т|проспект|пер\.|переулок|пл\.|площадь|наб\.|бульвар|б-р|шоссе)\s*({_PART})(?:\s+{_PART})?,?\s+(?:д\.|дом)?\s*\d{{1,4}}[а-яa-z]?(?![\w-])"),
+    re.compile(rf"(?<!\w)(?=[aceloprtuv])(?:(?:c/|avda\.|ul\.|al\.|pl\.|os\.)\s*|(?:calle|plaza|avda|avenida|paseo|camino|rua|travessa|praça|praca|largo|estrada|viale|via|piazza|corso|vicolo|ulica|aleja|plac)\s+)(?:d[aeo]s?\s+|del(?:la)?\s+|de\s+la\s+)?({_PART})(?:\s+{_PART})?,?\s+(?:n\.?\s?[º°]\s?)?\d{{1,4}}[a-z]?(?![\w-])"),
+    re.compile(rf"(?<!\w)(?:(?:ул\.|пр\.|пер\.|пл\.|наб\.|пр-т|б-р)\s*|(?:улица|проспект|переулок|площадь|набережная|бульвар|шоссе)\s+)({_PART})(?:\s+{_PART})?,?\s+(?:д\.|дом)?\s*\d{{1,4}}[а-яa-z]?(?![\w-])"),
 ]
 _STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|straat|laan|kade|gracht|plein|singel|dijk)\s+\d{1,4}[a-z]?(?![\w-])")
 _STREET_HEAD = re.compile(r"(?<!\w)[^\W\d_](?:[^\W\d_]|[\u0300-\u036f-])*$")
-_NUMBER = re.compile(r"(?<![\w.,:/=+-])(?<!\d )(?:\+|\()?\d(?:(?:\s?[-.]?\s?|/|\s?\(|\)\s?[-.]?\s?)\d)*")
-_NUMBER_AFTER = re.compile(r"(?<==)\d(?:(?:\s?[-.]?\s?)\d)*")
+_NUMBER = re.compile(r"(?<![\w.,:/=+-])(?<!\d )(?:\+|\()?\d(?:(?:[-./\s]|\s?\(|\)\s?-?)?\d)*")
+_NUMBER_AFTER = re.compile(r"(?<==)\d(?:[-\s]?\d)*")
 _ALNUM = re.compile(r"(?<![\w.-])(?:[A-Z]{2}\s?\d{6}\s?[A-Z]|(?=[A-Z0-9]*\d\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{8,12})(?![\w-])")
 _WORD = rf"[{_CAP}](?:[{_LETTER}'’]+)"
 _SURNAME = rf"(?:(?:von|van|de|di|da|del|der|du|dos|la|VON|VAN|DE|DI|DA|DEL|DER|DU|DOS|LA)\s+)?{_WORD}(?:-{_WORD})?"
 _NAME = re.compile(rf"(?<![\w'’-])(?=({_WORD})\s+((?:[{_CAP}]\.\s+)?)({_SURNAME})(?![\w]))")
-_REVERSED = re.compile(rf"(?<![\w'’-])(?=({_SURNAME}),\s+({_WORD})((?:\s+[{_CAP}]\.)?)(?![\w'’-]))")
+_REVERSED = re.compile(rf"(?<![\w'’-])(?=({_WORD}(?:-{_WORD})?),\s+({_WORD})((?:\s+[{_CAP}]\.)?)(?![\w'’-]))")
 _INITIAL = re.compile(rf"(?<![\w'’-])(?=([{_CAP}]\.)\s?((?:[{_CAP}]\.\s?)?)({_SURNAME})(?![\w]))")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _MARKS = re.compile("[̀-ͯ]")
@@ -78,20 +79,21 @@ def plain(word: str) -> str:
     return _DIGITS.sub("0", word)
 
 
-def _around(text: str, start: int, end: int) -> tuple[str, str, list[str]]:
-    """The two tokens before, the two after, and the words before, all plain."""
+def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
+    """The tokens before (four at most) and the two after, all plain."""
     before = [plain(t) for t in _TOKEN.findall(text[max(0, start - 40) : start])]
     if start > 40 and before and text[start - 41].isalnum():
         before = before[1:]
     after = [plain(t) for t in _TOKEN.findall(text[end : end + 40])][:2]
-    return " ".join(before[-2:]) or "^", " ".join(after) or "$", before[-4:]
+    return before[-4:], " ".join(after) or "$"
 
 
 def candidates(text: str) -> Iterator[tuple]:
-    """(start, end, kind, direct, a, b, left, right, seed) of each candidate in a text.
+    """(start, end, kind, form, a, b, left, right, seed) of each candidate in a text.
 
-    kind: EMAIL, ADDRESS, NUM or NAME; a and b: the parts of a name (plain), or the shape
-    of a number; seed: a type or NONE where the context is unmistakable, else ''.
+    kind: EMAIL, ADDRESS, NUM or NAME; a and b: given and family name (plain), or the shape
+    of a number and the two words before it; form: "strict" for a name with a comma, a
+    middle initial or a particle, of which both parts must be known; seed: a type or NONE where the context is unmistakable, else ''.
     """
     t = text.replace("\\n", "\x00\x00").replace("\\t", "\x00\x00").replace("\\r", "\x00\x00") if "\\" in text else text
     taken: list[tuple[int, int]] = []
@@ -100,7 +102,7 @@ def candidates(text: str) -> Iterator[tuple]:
         domain = _DOMAIN.match(t, m.end())
         if local and domain and not _FILE.search(domain[0]):
             taken.append((local.start(), domain.end()))
-            yield (local.start(), domain.end(), "EMAIL", True, "", "", "", "", "EMAIL")
+            yield (local.start(), domain.end(), "EMAIL", "plain", "", "", "", "", "EMAIL")
     low = t.lower()
     if len(low) != len(t):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in t)
@@ -111,29 +113,32 @@ def candidates(text: str) -> Iterator[tuple]:
     for start, end, name in streets:
         if t[name].isupper() and not any(a < end and start < b for a, b in taken):
             taken.append((start, end))
-            yield (start, end, "ADDRESS", True, "", "", "", "", "ADDRESS")
+            yield (start, end, "ADDRESS", "plain", "", "", "", "", "ADDRESS")
     for a, b in taken:
         t = t[:a] + "\x01" * (b - a) + t[b:]
     spans: list[tuple[int, int]] = []
     for pattern in (_NUMBER, _NUMBER_AFTER, _ALNUM):
         for m in pattern.finditer(t):
             start, end = m.span()
-            value = m[0]
+            if "\n" in m[0] and t[end : end + 1] in (".", ")") and len(m[0].rsplit("\n", 1)[1]) <= 3:
+                end = start + m[0].rindex("\n")  # what follows the line break numbers the next line
+            value = t[start:end].rstrip()
+            end = start + len(value)
             digits = sum(c.isdigit() for c in value)
             if pattern is not _ALNUM and not 7 <= digits <= 15 or end < len(t) and (t[end].isalnum() or t[end] == "_") or any(a < end and start < b for a, b in spans):
                 continue
             spans.append((start, end))
             shape = re.sub(r"\s+", " ", re.sub("[A-Za-z]", "A", re.sub(r"\d", "9", value)))
-            left, right, before = _around(t, start, end)
-            words = set(before)
+            before, right = _around(t, start, end)
+            words = set(before[-3:])
             seed = ""
-            if words & OTHER_WORDS or right.startswith("px"):
-                seed = "NONE"
-            elif words & ID_WORDS:
+            if words & ID_WORDS:
                 seed = "ID_NUMBER"
+            elif words & OTHER_WORDS or right.startswith("px"):
+                seed = "NONE"
             elif value[0] == "+" or words & PHONE_WORDS:
                 seed = "PHONE"
-            yield start, end, "NUM", True, shape, shape[:4], left, right, seed
+            yield start, end, "NUM", "plain", shape, " ".join(before[-2:]) or "^", " ".join(before[-3:]) or "^", right, seed
     for pattern, direct in ((_NAME, True), (_INITIAL, True), (_REVERSED, False)):
         for m in pattern.finditer(t):
             one, two, three = m[1], m[2], m[3]
@@ -142,16 +147,18 @@ def candidates(text: str) -> Iterator[tuple]:
             g, f = plain(given), plain(last)
             if g in FUNCTION_WORDS or f in FUNCTION_WORDS or g in TITLES or f in TITLES or len(f) < 3:
                 continue
-            left, right, before = _around(t, m.start(), end)
+            before, right = _around(t, m.start(), end)
+            form = "plain" if direct and (pattern is _INITIAL or not two and " " not in family) else "strict"
             title = [w for w in before if w != "."][-1:]
-            seed = "NAME" if title and title[0] in TITLES and pattern is _NAME else ""
-            yield m.start(), end, "NAME", direct, "initial" if pattern is _INITIAL else g, f, left, right, seed
+            counted = title == ["ms"] and before[-2:-1] == ["0"]  # milliseconds
+            seed = "NAME" if title and title[0] in TITLES and not counted and pattern is _NAME else ""
+            yield m.start(), end, "NAME", form, "initial" if pattern is _INITIAL else g, f, " ".join(before[-2:]) or "^", right, seed
 
 
 UNIT = "table_name string, row_id long, field string, part int, text string"
-CANDIDATE = "table_name string, row_id long, field string, part int, start int, stop int, value string, kind string, direct boolean, a string, b string, l string, r string, seed string"
+CANDIDATE = "table_name string, row_id long, field string, part int, start int, stop int, value string, kind string, form string, a string, b string, l string, r string, seed string"
 _NAMES = [c.split()[0] for c in CANDIDATE.split(", ")]
-_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), *[pa.string()] * 5]
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 8]
 
 
 def extract(units: DataFrame) -> DataFrame:
@@ -212,32 +219,42 @@ TYPES = ("NAME", "PHONE", "ID_NUMBER", "NONE")
 
 def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, a, b, l, r, label) of each signature after the rounds of scoring."""
-    sig = found.where(F.col("kind").isin("NUM", "NAME")).groupBy("kind", *ROLES).agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    sig = found.where(F.col("kind").isin("NUM", "NAME")).groupBy("kind", "form", *ROLES).agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     sig = cut_lineage(sig.withColumn("label", F.col("seed")))
+    sums = [F.sum(F.when(F.col("label") == t, F.col("n")).otherwise(0)).alias(t) for t in TYPES]
     for _ in range(rounds):
-        each = sig.select("kind", "n", "label", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("kind", "n", "label", "p.*")
-        sums = [F.sum(F.when(F.col("label") == t, F.col("n")).otherwise(0)).alias(t) for t in TYPES]
-        graph = each.groupBy("kind", "role", "pattern").agg(F.sum("n").alias("total"), *sums)
-        # unlabelled instances speak against a name pattern, for a number only labelled ones count
-        base = F.when(F.col("kind") == "NAME", F.col("total")).otherwise(F.col("PHONE") + F.col("ID_NUMBER") + F.col("NONE"))
-        graph = graph.where(base > 0).select("kind", "role", "pattern", *[(F.col(t) / (base + 0.5)).alias(t) for t in TYPES])
+        # given names first: a context is judged by the share of its instances that start with a known one
+        is_named = F.sum(F.when(F.col("label") == "NAME", F.col("n")).otherwise(0))
+        givens = sig.where("kind = 'NAME'").groupBy(F.lit("NAME").alias("kind"), "a").agg(F.sum("n").alias("g_total"), is_named.alias("g_name"))
+        pairs = sig.where("kind = 'NAME'").groupBy(F.lit("NAME").alias("kind"), "a", "b").agg(F.sum("n").alias("p_total"))
+        base = sig.join(givens, ["kind", "a"], "left").join(pairs, ["kind", "a", "b"], "left")
+        # a given name that keeps to one second word is the name of a thing
+        thing = (F.col("a") != "initial") & (F.col("p_total") >= 5) & (F.col("p_total") > 0.2 * F.col("g_total"))
+        base = base.withColumn("thing", thing).withColumn("known", F.coalesce(~thing & (F.col("a") != "initial") & (F.col("g_name") / (F.col("g_name") + 0.5) >= KNOWN), F.lit(False)))
+        base = cut_lineage(base)
+        each = base.select("kind", "n", "label", "known", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("kind", "n", "label", "known", "p.*")
+        graph = each.groupBy("kind", "role", "pattern").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("known") | (F.col("label") == "NAME"), F.col("n")).otherwise(0)).alias("near"), *sums)
+        # a name's part counts by its labelled instances, its context by their share; a number's pattern by the share of each type among labelled ones
+        told = F.col("PHONE") + F.col("ID_NUMBER") + F.col("NONE") + 0.5
+        name = F.when(F.col("role") == "b", F.col("NAME") / (F.col("NAME") + 0.5)).otherwise(F.col("near") / (F.col("total") + 2))
+        graph = graph.select("kind", "role", "pattern", F.when(F.col("kind") == "NAME", name).otherwise(0.0).alias("NAME"), *[(F.col(t) / told).alias(t) for t in TYPES[1:]])
         graph = cut_lineage(graph.where("NAME + PHONE + ID_NUMBER + NONE > 0"))
-        step = sig
+        step = base
         for role in ROLES:
             own = graph.where(F.col("role") == role).select("kind", F.col("pattern").alias(role), *[F.col(t).alias(f"{role}_{t}") for t in TYPES])
             step = step.join(own, ["kind", role], "left")
         s = lambda role, t: F.coalesce(F.col(f"{role}_{t}"), F.lit(0.0))
-        parts = (s("a", "NAME") >= SURE) & (s("b", "NAME") >= SURE)
-        context = F.greatest(s("l", "NAME"), s("r", "NAME"))
-        initial = (F.col("a") == "initial") & (s("b", "NAME") >= SURE)
-        some = F.greatest(F.when(F.col("a") != "initial", s("a", "NAME")).otherwise(0.0), s("b", "NAME"))
-        is_name = parts | initial | ((some >= LIKELY) & (context >= SURE)) | ((s("l", "NAME") >= SURE) & (s("r", "NAME") >= SURE))
-        votes = {t: s("a", t) + 1.5 * s("l", t) + 0.5 * s("r", t) + 0.25 * s("b", t) for t in TYPES[1:]}
+        family = s("b", "NAME") >= KNOWN
+        context = F.greatest(s("l", "NAME"), s("r", "NAME")) >= CONTEXT
+        both = (s("l", "NAME") >= CONTEXT) & (s("r", "NAME") >= CONTEXT)
+        plain_form = F.col("form") == "plain"
+        is_name = ~F.col("thing") & ((F.col("known") & family) | (plain_form & ((F.col("known") & context) | (family & ((F.col("a") == "initial") | context)) | both)))
+        votes = {t: s("a", t) + 1.5 * s("l", t) + 0.5 * s("r", t) + 0.5 * s("b", t) for t in TYPES[1:]}
         best = F.greatest(*votes.values())
         number = F.when(best < 0.5, "").when(votes["NONE"] == best, "NONE").when(votes["ID_NUMBER"] == best, "ID_NUMBER").otherwise("PHONE")
         new = F.when(F.col("seed") != "", F.col("seed")).when(F.col("kind") == "NAME", F.when(is_name, "NAME").otherwise("")).otherwise(number)
-        sig = cut_lineage(step.select("kind", *ROLES, "n", "seed", new.alias("label")))
-    return sig.select("kind", *ROLES, "label")
+        sig = cut_lineage(step.select("kind", "form", *ROLES, "n", "seed", new.alias("label")))
+    return sig.select("kind", "form", *ROLES, "label")
 
 
 def spans(units: DataFrame) -> DataFrame:
@@ -248,9 +265,9 @@ def spans(units: DataFrame) -> DataFrame:
     found = kept(extract(units))
     labels = scored(found).where(~F.col("label").isin("", "NONE"))
     sure = found.where(F.col("kind").isin("EMAIL", "ADDRESS")).withColumn("label", F.col("kind"))
-    told = found.where(F.col("kind").isin("NUM", "NAME")).join(labels, ["kind", *ROLES])
-    named = told.where("kind = 'NAME'").groupBy("table_name", "row_id", "field", "part").agg(F.collect_list(F.struct("start", "stop", "value", "direct", "label")).alias("s"))
-    clean = F.expr("filter(s, x -> not exists(s, y -> y.start < x.stop and x.start < y.stop and ((y.direct and not x.direct) or (y.direct = x.direct and (y.stop - y.start > x.stop - x.start or (y.stop - y.start = x.stop - x.start and y.start < x.start))))))")
+    told = found.where(F.col("kind").isin("NUM", "NAME")).join(labels, ["kind", "form", *ROLES])
+    named = told.where("kind = 'NAME'").groupBy("table_name", "row_id", "field", "part").agg(F.collect_list(F.struct("start", "stop", "value", "form", "label")).alias("s"))
+    clean = F.expr("filter(s, x -> not exists(s, y -> y.start < x.stop and x.start < y.stop and ((y.value not like '%,%' and x.value like '%,%') or ((y.value like '%,%') = (x.value like '%,%') and (y.stop - y.start > x.stop - x.start or (y.stop - y.start = x.stop - x.start and y.start < x.start))))))")
     names = named.select("table_name", "row_id", "field", "part", F.explode(clean).alias("x")).select("table_name", "row_id", "field", "part", "x.start", "x.stop", "x.value", "x.label")
     columns = ["table_name", "row_id", "field", "part", "start", "stop", "value", "label"]
     return sure.select(*columns).unionAll(told.where("kind = 'NUM'").select(*columns)).unionAll(names.select(*columns)).withColumnRenamed("label", "pii_type")
