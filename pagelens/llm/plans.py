@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import leaks, personal, quantiles, tokens
+from pagelens.llm import languages, leaks, personal, quantiles, tokens
 from pagelens.session import cut_lineage
 from pagelens.sources.tables import table
 
@@ -29,6 +29,8 @@ QUERIES = {
     "p6_ids": lambda spark, d: tokens.encode(table(spark, d, "documents")),
     "p6_decoded": lambda spark, d: tokens.decode(tokens.encode(table(spark, d, "documents"))),
     "p7_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "p8_found": lambda spark, d: languages.found(table(spark, d, "documents")),
+    "p8_documents": lambda spark, d: languages.documents(table(spark, d, "documents")),
 }
 
 SQL = {
