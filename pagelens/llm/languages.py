@@ -295,7 +295,7 @@ def segments(df: DataFrame, key: str = "doc_id", text: str = "text", label: str
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
-    rows = df.where(F.length(text) > 0).select(F.col(key).cast("long"), F.col(text).cast("string"), label_of(F.col(label)))
+    rows = df.where(F.length(text) > 0).select(F.col(key).cast("long"), F.col(text).cast("string").alias("t"), label_of(F.col(label)).alias("c"))
     return rows.mapInArrow(run, f"{key} long, label_lang string, {SEGMENT}")
 
 
