@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import training
+from pagelens.plans import pages, telemetry, training
 
-PARTS = (training,)
+PARTS = (training, pages, telemetry)
 
 
 def queries() -> dict:
