@@ -25,7 +25,7 @@ def falsy(*values: Column, text: bool = False) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def squeeze(x: Column, most: int | None = None) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import pages, telemetry, training
+from pagelens.plans import pages, spatial, telemetry, training
 
-PARTS = (training, pages, telemetry)
+PARTS = (training, pages, telemetry, spatial)
 
 
 def queries() -> dict:
