@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import pages, spatial, telemetry, training
+from pagelens.plans import pages, redaction, spatial, telemetry, training
 
-PARTS = (training, pages, telemetry, spatial)
+PARTS = (training, pages, telemetry, spatial, redaction)
 
 
 def queries() -> dict:
