@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import pages, redaction, spatial, telemetry, training
+from pagelens.plans import pages, raster, redaction, spatial, streams, telemetry, training
 
-PARTS = (training, pages, telemetry, spatial, redaction)
+PARTS = (training, pages, telemetry, spatial, redaction, raster, streams)
 
 
 def queries() -> dict:
