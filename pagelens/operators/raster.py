@@ -82,35 +82,44 @@ def merged(parts: list[dict]) -> list[dict]:
 
     In order, and again while something joined; a region's box grows as it goes.
     """
-    left = list(parts)
+    if not parts:
+        return []
+    box = np.array([(p["x0"], p["x1"], p["y0"], p["y1"]) for p in parts], np.int64)
+    open_ = np.ones(len(parts), bool)
     out = []
-    while left:
-        b = dict(left.pop(0))
-        grew = True
-        while grew:
-            grew = False
-            rest = []
-            for o in left:
-                if _joins(b, o):
-                    b |= {"x0": min(b["x0"], o["x0"]), "x1": max(b["x1"], o["x1"]), "y0": min(b["y0"], o["y0"]), "y1": max(b["y1"], o["y1"])}
-                    for k in ("n", "lum", "lum2", "chroma", "grad"):
-                        b[k] += o[k]
-                    grew = True
-                else:
-                    rest.append(o)
-            left = rest
+    for i in range(len(parts)):
+        if not open_[i]:
+            continue
+        open_[i] = False
+        b, at, start, grew = dict(parts[i]), box[i].copy(), 0, False
+        while True:
+            rest = np.flatnonzero(open_[start:]) + start
+            near = rest[_joins(at, box[rest])] if len(rest) else rest
+            if len(near):  # the first in order; the box has grown for those after it
+                j = int(near[0])
+                open_[j] = False
+                at = np.array([min(at[0], box[j, 0]), max(at[1], box[j, 1]), min(at[2], box[j, 2]), max(at[3], box[j, 3])])
+                for k in ("n", "lum", "lum2", "chroma", "grad"):
+                    b[k] += parts[j][k]
+                start, grew = j + 1, True
+            elif grew:
+                start, grew = 0, False
+            else:
+                break
+        b |= dict(zip(("x0", "x1", "y0", "y1"), map(int, at), strict=True))
         out.append(b)
     return out
 
 
-def _joins(b: dict, o: dict) -> bool:
-    area = lambda p: (p["x1"] - p["x0"] + 1) * (p["y1"] - p["y0"] + 1)
-    ratio = max(area(b), area(o)) / (min(area(b), area(o)) + 1)
-    holds = lambda p, q: p["x0"] <= q["x0"] and p["x1"] >= q["x1"] and p["y0"] <= q["y0"] and p["y1"] >= q["y1"]
-    if ratio > APART and (holds(b, o) or holds(o, b)) or ratio > MOST_RATIO:
-        return False
-    across, down = min(b["x1"], o["x1"]) - max(b["x0"], o["x0"]), min(b["y1"], o["y1"]) - max(b["y0"], o["y0"])
-    return (max(0, -across) <= X_GAP and down > 4) or (max(0, -down) <= Y_GAP and across > 6)
+def _joins(b: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Which of the boxes o (x0, x1, y0, y1 each) join the box b."""
+    area_b, area_o = (b[1] - b[0] + 1) * (b[3] - b[2] + 1), (o[:, 1] - o[:, 0] + 1) * (o[:, 3] - o[:, 2] + 1)
+    ratio = np.maximum(area_b, area_o) / (np.minimum(area_b, area_o) + 1)
+    holds = (b[0] <= o[:, 0]) & (b[1] >= o[:, 1]) & (b[2] <= o[:, 2]) & (b[3] >= o[:, 3])
+    held = (b[0] >= o[:, 0]) & (b[1] <= o[:, 1]) & (b[2] >= o[:, 2]) & (b[3] <= o[:, 3])
+    across, down = np.minimum(b[1], o[:, 1]) - np.maximum(b[0], o[:, 0]), np.minimum(b[3], o[:, 3]) - np.maximum(b[2], o[:, 2])
+    close = ((-across <= X_GAP) & (down > 4)) | ((-down <= Y_GAP) & (across > 6))
+    return close & (ratio <= MOST_RATIO) & ~((ratio > APART) & (holds | held))
 
 
 def regions(pixels: np.ndarray, width: int | None = None, height: int | None = None) -> list[tuple]:

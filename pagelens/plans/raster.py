@@ -36,7 +36,7 @@ def screenshots(spark, d):
                 images.append(png.encode(canvas))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["page", "image"])
 
-    return boxes.mapInArrow(run, "page string, image binary")
+    return boxes.repartition(2 * spark.sparkContext.defaultParallelism, "page").mapInArrow(run, "page string, image binary")
 
 
 def _headers(spark, d):

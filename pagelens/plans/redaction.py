@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from pagelens.operators import redaction as r
 from pagelens.plans.pages import observed
+from pagelens.session import spread
 from pagelens.sources.tables import table
 
 
 def lines(spark, d):
     """Visible lines of observations and lines of documents, with an empty context."""
     o = table(spark, d, "observations").select(F.lit("o").alias("kind"), F.col("obs_id").alias("page"), F.posexplode("observation.visibleText").alias("ord", "text"))
-    t = table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    t = spread(table(spark, d, "documents")).select(F.lit("d").alias("kind"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     return o.unionByName(t).where("text is not null")
 
 
@@ -53,7 +54,7 @@ def _redacted(spark, d):
 
 def _gate(spark, d):
     """The gate over unredacted documents: which of them would be stopped, and why."""
-    t = table(spark, d, "documents").where("text is not null")
+    t = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     values = F.transform(r.detections(F.col("text"), F.lit("")), lambda x: x["value"])
     leaks = r.gate(F.col("text"), F.col("text"), values)
     return t.select("doc_id", F.array_join(leaks, ",").alias("leaks"), (F.size(leaks) == 0).alias("passed"))

@@ -38,3 +38,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
             named = tempfile.mkdtemp(prefix="pagelens-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(named)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files make too few tasks for work that is heavy on the CPU.
+
+    A table of many files is left as it is, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
