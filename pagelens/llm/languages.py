@@ -29,6 +29,8 @@ BUCKETS, DIM = 1 << 16, 12
 #: Labelled documents of each language to learn from; fewer leave a rare language to noise.
 SAMPLE_DOCS = 600
 EPOCHS, BATCH, RATE = 4, 128, 0.4
+#: A small sample is gone through more often, for this many steps.
+LEAST_STEPS = 150
 #: Confidence from which a sentence counts, and from which it does in a text with no surer one.
 ACCEPT, ACCEPT_ALONE = 0.98, 0.6
 #: Words in small letters that a sentence needs, or words if all are in capitals.
@@ -149,6 +151,7 @@ class Fit:
         emb = rng.normal(0, 1 / DIM, (len(self.rows), DIM))
         out = np.zeros((DIM, len(LANGS)))
         seen_emb, seen_out = np.zeros(len(emb)), np.full(out.shape, 1e-8)  # sums of squared gradients
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(BATCH, len(chosen))))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(chosen)
