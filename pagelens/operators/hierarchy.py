@@ -165,7 +165,7 @@ def doubling(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
     to the few on a key unique on the other side, so adaptive skew splitting applies.
     """
     known = nodes.select("grp", F.col("node").alias("p"))
-    state = nodes.join(known, (nodes.grp.eqNullSafe(known.grp)) & (nodes.up == known.p), "left").select(nodes.grp, "node", F.col("p").alias("up"))
+    state = nodes.alias("n").join(known.alias("k"), F.expr("n.grp <=> k.grp and n.up = k.p"), "left").select("n.grp", "n.node", F.col("k.p").alias("up"))
     state = state.select(
         "grp",
         "node",
@@ -180,8 +180,8 @@ def doubling(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
     while span <= 2 * total:
         above = state.select(F.col("grp").alias("g"), F.col("node").alias("j"), F.col("jump").alias("jump2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
         added = state.where("jump is not null").groupBy("grp", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
-        step = state.join(above, state.grp.eqNullSafe(above.g) & (state.jump == above.j), "left").select(
-            state.grp,
+        step = state.join(above, F.expr("grp <=> g and jump = j"), "left").select(
+            "grp",
             "node",
             F.col("jump2").alias("jump"),
             F.coalesce("root", "root2").alias("root"),
@@ -189,6 +189,7 @@ def doubling(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
             "size",
             F.when(F.col("jump").isNull(), F.col("path")).otherwise(F.concat_ws("/", "path2", "path")).alias("path"),
         )
+        step = step.select("grp", "node", "jump", "root", "depth", "size", "path")
         state = cut_lineage(step.alias("s").join(added.alias("d"), F.expr("s.grp <=> d.grp and s.node = d.node"), "left").select("s.grp", "s.node", "jump", "root", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "path"))
         span *= 2
         if state.where("jump is not null").isEmpty():
