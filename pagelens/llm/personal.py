@@ -46,7 +46,7 @@ _LETTER = "A-Za-zÀ-ɏЀ-ӿ\u0300-\u036f"
 _CAP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĘĚŁŃŇŐŘŚŠŤŮŰŸŹŻŽА-ЯЁ"
 # Patterns start with a plain class of signs and look behind it, which is what re finds fast.
 _AT = re.compile(r"[@＠%&\[({](?:(?<=[@＠])|(?<=%)40|(?<=&)(?:#64|#x40|commat);|(?<=[\[({])\s?[aA][tT]\s?[\])}])")
-_DOT = r"(?:\.|\s?[\[({]\s?[dD][oO][tT]\s?[\])}]\s?)"
+_DOT = r"(?:\.|\s{0,2}[\[({]\s?[dD][oO][tT]\s?[\])}]\s{0,2})"
 _LOCAL = re.compile(r"[\w.+\u0300-\u036f-]*[\w+\u0300-\u036f-]$")
 _DOMAIN = re.compile(rf"[^\W_][\w\u0300-\u036f-]*(?:{_DOT}[\w\u0300-\u036f-]+)*{_DOT}[A-Za-z][A-Za-z-]+(?!\w)")
 _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|html?|json|zip|pdf|mp4)$", re.I)
@@ -68,7 +68,7 @@ _HINTS = (
 _COMMA = re.compile(rf",\s+[{_CAP}]")
 _STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|straat|laan|kade|gracht|plein|singel|dijk)\s+\d{1,4}[a-z]?(?![\w-])")
 _STREET_HEAD = re.compile(r"(?<!\w)[^\W\d_](?:[^\W\d_]|[\u0300-\u036f-])*$")
-_NUMBER = re.compile(r"[\d+(](?<![\w.,:/=+-][\d+(])(?<!\d [\d+(])(?:(?<=\d)|\d)(?:(?:[-./\s]|\s?\(|\)\s?-?)?\d){6,}")
+_NUMBER = re.compile(r"[\d+(](?<![\w.,:/=+#-][\d+(])(?<!\d \d)(?:(?<=\d)|\d)(?:(?:\r\n|[-./\s]|\s?\(|\)\s?-?)?\d){6,}")
 _NUMBER_AFTER = re.compile(r"(?<==)\d(?:[-\s]?\d)*")
 _ALNUM = re.compile(r"[A-Z0-9](?<![\w.-][A-Z0-9])(?:(?<=[A-Z])[A-Z]\s?\d{6}\s?[A-Z]|[A-Z0-9]{7,11})(?![\w-])")
 _WORD = rf"[{_CAP}](?:[{_LETTER}'’]+)"
@@ -77,7 +77,7 @@ _START = rf"[{_CAP}](?<![\w'’-][{_CAP}])"
 _REST = rf"[{_LETTER}'’]+"
 _NAME = re.compile(rf"{_START}(?=({_REST})\s+((?:[{_CAP}]\.\s+)?)({_SURNAME})(?![\w]))")
 _REVERSED = re.compile(rf"{_START}(?=({_REST}(?:-{_WORD})?),\s+({_WORD})((?:\s+[{_CAP}]\.)?)(?![\w'’-]))")
-_INITIAL = re.compile(rf"{_START}(?=(\.)\s?((?:[{_CAP}]\.\s?)?)({_SURNAME})(?![\w]))")
+_INITIAL = re.compile(rf"{_START}(?=(\.)\s{{0,2}}((?:[{_CAP}]\.\s{{0,2}})?)({_SURNAME})(?![\w]))")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _MARKS = re.compile("[̀-ͯ]")
 _DIGITS = re.compile(r"\d+")
@@ -111,9 +111,14 @@ def candidates(text: str) -> Iterator[tuple]:
     t = text.replace("\\n", "\x00\x00").replace("\\t", "\x00\x00").replace("\\r", "\x00\x00") if "\\" in text else text
     taken: list[tuple[int, int]] = []
     for m in _AT.finditer(t):
-        bracket = m[0][0] in "[({"  # which may stand apart by a blank on either side
-        local = _LOCAL.search(t, max(0, m.start() - 80), m.start() - (bracket and t[m.start() - 1 : m.start()].isspace()))
-        domain = _DOMAIN.match(t, m.end() + (bracket and t[m.end() : m.end() + 1].isspace()))
+        bracket = m[0][0] in "[({"  # which may stand apart by a blank or a line break on either side
+        before, after = m.span()
+        while bracket and m.start() - before < 2 and t[before - 1 : before].isspace():
+            before -= 1
+        while bracket and after - m.end() < 2 and t[after : after + 1].isspace():
+            after += 1
+        local = _LOCAL.search(t, max(0, before - 80), before)
+        domain = _DOMAIN.match(t, after)
         if local and domain and not _FILE.search(domain[0]):
             taken.append((local.start(), domain.end()))
             yield (local.start(), domain.end(), "EMAIL", "plain", "", "", "", "", "EMAIL")
@@ -251,10 +256,14 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         each = base.select("kind", "n", "label", "known", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("kind", "n", "label", "known", "p.*")
         graph = each.groupBy("kind", "role", "pattern").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("known") | (F.col("label") == "NAME"), F.col("n")).otherwise(0)).alias("near"), *sums)
         # a name's part counts by its labelled instances, its context by their share; a number's pattern by the share of each type among labelled ones
+        # a word like "order" explains its number; the number's shape is hardly to blame
+        none = F.when((F.col("kind") == "NUM") & (F.col("role") == "a"), F.col("NONE") * 0.1).otherwise(F.col("NONE"))
+        graph = graph.withColumn("NONE", none)
         told = F.col("PHONE") + F.col("ID_NUMBER") + F.col("NONE") + 0.5
         name = F.when(F.col("role") == "b", F.col("NAME") / (F.col("NAME") + 0.5)).otherwise(F.col("near") / (F.col("total") + 2))
         graph = graph.select("kind", "role", "pattern", F.when(F.col("kind") == "NAME", name).otherwise(0.0).alias("NAME"), *[(F.col(t) / told).alias(t) for t in TYPES[1:]])
-        graph = cut_lineage(graph.where("NAME + PHONE + ID_NUMBER + NONE > 0"))
+        edge = (F.col("kind") == "NUM") & F.col("pattern").isin("^", "$")  # the end of a text says nothing of a number
+        graph = cut_lineage(graph.where("NAME + PHONE + ID_NUMBER + NONE > 0").where(~edge))
         far = base.withColumn("_i", F.xxhash64("kind", "form", *ROLES))
         each = far.select("_i", "kind", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("_i", "kind", "p.*")
         told = each.join(graph, ["kind", "role", "pattern"]).groupBy("_i").agg(*[F.max(F.when(F.col("role") == x, F.col(t))).alias(f"{x}_{t}") for x in ROLES for t in TYPES])
@@ -265,7 +274,7 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         both = (s("l", "NAME") >= CONTEXT) & (s("r", "NAME") >= CONTEXT)
         plain_form = F.col("form") == "plain"
         is_name = ~F.col("thing") & ((F.col("known") & family) | (plain_form & ((F.col("known") & context) | (family & ((F.col("a") == "initial") | context)) | both)))
-        votes = {t: s("a", t) + 1.5 * s("l", t) + 0.5 * s("r", t) + 0.5 * s("b", t) for t in TYPES[1:]}
+        votes = {t: 1.5 * s("a", t) + 1.5 * s("l", t) + 0.5 * s("r", t) + 0.5 * s("b", t) for t in TYPES[1:]}
         best = F.greatest(*votes.values())
         number = F.when(best < 0.5, "").when(votes["NONE"] == best, "NONE").when(votes["ID_NUMBER"] == best, "ID_NUMBER").otherwise("PHONE")
         new = F.when(F.col("seed") != "", F.col("seed")).when(F.col("kind") == "NAME", F.when(is_name, "NAME").otherwise("")).otherwise(number)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelens.llm import languages, leaks, personal, quantiles, tokens
-from pagelens.session import cut_lineage
+from pagelens.session import cut_lineage, spread
 from pagelens.sources.tables import table
 
 
@@ -18,19 +18,23 @@ def _percentiles(spark, d):
     return quantiles.per_day_and_all([latency, run], cut_lineage)
 
 
+def _documents(spark, d, *more):
+    return spread(table(spark, d, "documents").select("doc_id", "text", *more))
+
+
 def _texts(spark, d):
-    return personal.units_of(table(spark, d, "documents"), table(spark, d, "dom_elements"), table(spark, d, "observations"))
+    return personal.units_of(_documents(spark, d), table(spark, d, "dom_elements"), table(spark, d, "observations"))
 
 
 QUERIES = {
     "p2_percentiles": _percentiles,
     "p4_found": lambda spark, d: personal.found(_texts(spark, d)),
     "p4_redacted": lambda spark, d: personal.redacted(_texts(spark, d)),
-    "p6_ids": lambda spark, d: tokens.encode(table(spark, d, "documents")),
-    "p6_decoded": lambda spark, d: tokens.decode(tokens.encode(table(spark, d, "documents"))),
-    "p7_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "benchmark")),
-    "p8_found": lambda spark, d: languages.found(table(spark, d, "documents")),
-    "p8_documents": lambda spark, d: languages.documents(table(spark, d, "documents")),
+    "p6_ids": lambda spark, d: tokens.encode(_documents(spark, d)),
+    "p6_decoded": lambda spark, d: tokens.decode(tokens.encode(_documents(spark, d))),
+    "p7_found": lambda spark, d: leaks.found(_documents(spark, d), table(spark, d, "benchmark")),
+    "p8_found": lambda spark, d: languages.found(_documents(spark, d, "lang")),
+    "p8_documents": lambda spark, d: languages.documents(_documents(spark, d, "lang")),
 }
 
 SQL = {
