@@ -32,7 +32,9 @@ EPOCHS, BATCH, RATE = 4, 128, 0.4
 #: A small sample is gone through more often, for this many steps.
 LEAST_STEPS = 150
 #: Confidence from which a sentence counts, and from which it does in a text with no surer one.
-ACCEPT, ACCEPT_ALONE = 0.98, 0.6
+ACCEPT, ACCEPT_ALONE = 0.99, 0.6
+#: Words that a sentence beside others needs to count.
+LEAST_BESIDE = 6
 #: Words in small letters that a sentence needs, or words if all are in capitals.
 MIN_WORDS, MIN_CAPITALS = 3, 5
 
@@ -70,6 +72,14 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]+")
 
 
+def _value(m: re.Match) -> str:
+    """A JSON field's text as a part of its own."""
+    try:
+        return f"\x00{json.loads(f'"{m[1]}"', strict=False)}\x00"
+    except ValueError:
+        return "\x00" + m[1].replace('\\"', '"') + "\x00"
+
+
 def sentences(text: str) -> list[list[str]]:
     """The words (lower case) of each sentence of a text, without code and captions.
 
@@ -81,15 +91,8 @@ def sentences(text: str) -> list[list[str]]:
         t = unicodedata.normalize("NFKC", _HIDDEN.sub("", t))
     if "\r" in t:
         t = t.replace("\r\n", "\n").replace("\r", "\n")
-    if '": ' in t and t.lstrip()[:1] == "{":
-        parts = []
-        for m in _NOTE.finditer(t):
-            try:
-                part = json.loads(f'"{m[1]}"', strict=False)
-            except ValueError:
-                part = m[1].replace('\\"', '"')
-            parts.append(part)
-        t = "\x00".join(parts)
+    if '": "' in t:
+        t = _NOTE.sub(_value, t)
     if "\\" in t:
         t = t.replace("\\n", "\n").replace('\\"', '"')
     if "<" in t:
@@ -260,11 +263,11 @@ class Reader:
         for words in sentences(text) if text else []:
             total = np.sum([self.word(w) for w in words], axis=0)
             p = _softmax((total[:-1] / total[-1] * self.scale)[None])[0]
-            each.append((LANGS[int(p.argmax())], float(p.max())))
-        least = ACCEPT if any(c >= ACCEPT for _, c in each) else ACCEPT_ALONE
+            each.append((LANGS[int(p.argmax())], float(p.max()), float(p.max()) >= ACCEPT and len(words) >= LEAST_BESIDE))
+        surer = any(sure for *_, sure in each)
         out: list[list] = []
-        for lang, c in each:
-            if c < least:
+        for lang, c, sure in each:
+            if not sure and (surer or c < ACCEPT_ALONE):
                 continue
             if out and out[-1][0] == lang:
                 out[-1][1] += c
