@@ -79,13 +79,17 @@ def trail(states: Column) -> Column:
 def breadcrumbs(steps: DataFrame, most: int = 25) -> DataFrame:
     """(task, crumbs): '1. a > 2. b' of the trail, titles cut to `most` characters.
 
-    A task's states are one ordered list, as its trail is; steps that stay in a state are
-    dropped first, since they cannot change it.
+    A state stays on the trail if it is the first one, or follows the last visit of the one
+    before it; so only each state's successor after its last visit is needed, and what is
+    brought together for a task is its distinct states, not its steps.
     """
-    changed = steps.withColumn("_p", F.lag("state").over(W.partitionBy("task").orderBy("seq"))).where("_p is null or _p != state")
-    listed = changed.where("state is not null").groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "state"))), lambda x: x["state"]).alias("s"))
-    crumbs = F.transform(trail(F.col("s")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.left(x, F.lit(most))))
-    return listed.select("task", F.array_join(crumbs, " > ").alias("crumbs"))
+    s = steps.where("state is not null")
+    s = s.withColumn("_next", F.lead("state").over(W.partitionBy("task").orderBy("seq")))
+    per = s.groupBy("task", "state").agg(F.min("seq").alias("first"), F.max_by(F.struct("_next"), "seq").alias("n"))
+    whole = per.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("state", "n._next"))).alias("m"), F.min_by("state", "first").alias("start"))
+    way = F.expr("aggregate(sequence(1, size(m)), array(start), (a, i) -> if(element_at(m, element_at(a, -1)) is null, a, array_append(a, element_at(m, element_at(a, -1)))))")
+    crumbs = F.transform(way, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.left(x, F.lit(most))))
+    return whole.select("task", F.array_join(crumbs, " > ").alias("crumbs"))
 
 
 def action_signature(action: Column, target: Column, text: Column) -> Column:

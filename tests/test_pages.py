@@ -77,6 +77,18 @@ def test_trail_and_streaks(spark):
     assert [r.streak for r in trajectory.streaks(s).orderBy("seq").collect()] == [1, 2, 1, 2, 3, 1]
 
 
+def test_breadcrumbs_match_the_stack(spark):
+    rng = np.random.default_rng(6)
+    runs = [[str(x) for x in rng.integers(0, 6, rng.integers(1, 25))] for _ in range(40)]
+    rows = [(k, i, x) for k, r in enumerate(runs) for i, x in enumerate(r)]
+    got = {r.task: r.crumbs for r in trajectory.breadcrumbs(spark.createDataFrame(rows, "task int, seq int, state string")).collect()}
+    for k, run in enumerate(runs):
+        stack = []
+        for x in run:
+            stack = stack[: stack.index(x) + 1] if x in stack else [*stack, x]
+        assert got[k] == " > ".join(f"{i}. {x}" for i, x in enumerate(stack, 1))
+
+
 def test_png_round_trip_and_regions():
     image = np.full((300, 400, 4), 255, np.uint8)
     assert raster.regions(image) == []
