@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import pages, raster, redaction, spatial, streams, telemetry, training
+from pagelens.plans import pages, raster, redaction, sessions, spatial, streams, telemetry, training
 
-PARTS = (training, pages, telemetry, spatial, redaction, raster, streams)
+PARTS = (training, pages, telemetry, spatial, redaction, raster, streams, sessions)
 
 
 def queries() -> dict:
