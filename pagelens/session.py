@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +25,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint `df` in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder below the one the cluster names in spark.checkpoint.dir.
 
-    Where no folder is named (tests on one machine) a temporary one is set; on a
-    cluster that would be a folder no other machine sees, so it is refused there.
+    Where no folder is named (tests on one machine) a temporary one is set; on a cluster
+    that would be a folder no other machine sees, so it is refused there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +39,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="pagelens-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """`df` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
@@ -51,17 +58,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so their Python finds it wherever they run."""
+    """Send this package to the executors once, so their Python finds it wherever they run.
+
+    The archive lies in the shared checkpoint folder, like everything that tasks read.
+    """
     context = spark.sparkContext
     if getattr(context, "_pagelens_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="pagelens-code-"), "pagelens.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for folder, _, files in os.walk(root):
             for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(path)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pagelens-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
     context._pagelens_shipped = True

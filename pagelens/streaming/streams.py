@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators import telemetry
-from pagelens.session import cut_lineage
+from pagelens.session import shared_folder
 
 #: The largest body taken in (characters of a text, no more than its bytes).
 MOST_BODY = 50 * 1024 * 1024
@@ -22,9 +22,7 @@ MOST_BODY = 50 * 1024 * 1024
 
 def place(spark: SparkSession, name: str) -> str:
     """A new folder for a query's offsets and output, in the shared checkpoint folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut_lineage(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
