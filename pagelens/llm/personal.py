@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.session import cut_lineage
+from pagelens.session import cut_lineage, shared_folder
 
 ROUNDS = 3
 #: A part of a name is known from this evidence on (labelled / (labelled + 0.5)); a context
@@ -225,11 +225,7 @@ def units_of(documents: DataFrame | None = None, elements: DataFrame | None = No
 def kept(df: DataFrame) -> DataFrame:
     """`df` written once as compressed files into the shared folder, and read from there."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        cut_lineage(spark.range(1))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
