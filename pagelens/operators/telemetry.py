@@ -15,7 +15,8 @@ ROUTES = {
 # Component by the start, then by a part of an event's name.
 STARTS = (("M1", "M1_SCREENSHOT"), ("M2", "M2_DOM"), ("M3", "M3_VISION"), ("M4", "M4_OCR"), ("M5", "M5_PII"), ("M6", "M6_FUSION"))
 PARTS = (("SANITIZ", "PRIVACY_GATE"), ("PRIVACY", "PRIVACY_GATE"), ("AGENT", "SIMPLE_UI_GEMINI"), ("GEMINI", "SIMPLE_UI_GEMINI"), ("ACTION", "BROWSER_ACTION"), ("BROWSER", "BROWSER_ACTION"))
-OTHER = "RAVEN_CORE"
+#: The component of events that no rule names.
+OTHER = "CORE"
 
 
 def component_of(event: Column) -> Column:
