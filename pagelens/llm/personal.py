@@ -106,7 +106,8 @@ def candidates(text: str) -> Iterator[tuple]:
 
     kind: EMAIL, ADDRESS, NUM or NAME; a and b: given and family name (plain), or the shape
     of a number and the two words before it; form: "strict" for a name with a comma, a
-    middle initial or a particle, of which both parts must be known; seed: a type or NONE where the context is unmistakable, else ''.
+    middle initial or a particle, of which both parts, or the given name and the words on
+    either side, must be known; seed: a type or NONE where the context is unmistakable, else ''.
     """
     t = text.replace("\\n", "\x00\x00").replace("\\t", "\x00\x00").replace("\\r", "\x00\x00") if "\\" in text else text
     taken: list[tuple[int, int]] = []
@@ -269,7 +270,7 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         context = F.greatest(s("l", "NAME"), s("r", "NAME")) >= CONTEXT
         both = (s("l", "NAME") >= CONTEXT) & (s("r", "NAME") >= CONTEXT)
         plain_form = F.col("form") == "plain"
-        is_name = ~F.col("thing") & ((F.col("known") & family) | (plain_form & ((F.col("known") & context) | (family & ((F.col("a") == "initial") | context)) | both)))
+        is_name = ~F.col("thing") & ((F.col("known") & (family | both)) | (plain_form & ((F.col("known") & context) | (family & ((F.col("a") == "initial") | context)) | both)))
         votes = {t: 1.5 * s("a", t) + 1.5 * s("l", t) + 0.5 * s("r", t) + 0.5 * s("b", t) for t in TYPES[1:]}
         best = F.greatest(*votes.values())
         number = F.when(best < 0.5, "").when(votes["NONE"] == best, "NONE").when(votes["ID_NUMBER"] == best, "ID_NUMBER").otherwise("PHONE")
