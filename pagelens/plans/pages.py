@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.columns import byte_size, ratio_label
 from pagelens.operators import pages
+from pagelens.plans.training import _DOM
 from pagelens.sources.tables import table
 
 WIDTH, HEIGHT = 1920, 1080
@@ -203,6 +204,11 @@ FROM (SELECT DISTINCT perception_cycle_id, parent_id, target_id FROM dom_element
     "dom_parent_lookup": """
 WITH f AS (SELECT perception_cycle_id AS c, target_id AS t, arg_min(struct_pack(tag := tag, role := role), row_id) AS x FROM dom_elements WHERE target_id IS NOT NULL GROUP BY 1, 2)
 SELECT e.row_id, f.x.tag AS parent_tag, f.x.role AS parent_role FROM dom_elements e LEFT JOIN f ON f.c = e.perception_cycle_id AND f.t = e.parent_id""",
+    "dom_interactive_ancestor": _DOM
+    + f""", own AS (SELECT perception_cycle_id AS c, target_id AS t, arg_min(struct_pack(tag := tag, role := role), row_id) AS x FROM dom_elements WHERE target_id IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT c, t AS node, unnest(string_split(path, '/')) AS above, unnest(range(1, len(string_split(path, '/')) + 1)) AS level FROM r WHERE depth > 0)
+SELECT u.c AS grp, u.node, arg_max(u.above, u.level) AS ancestor, arg_max(own.x.tag, u.level) AS ancestor_tag FROM u JOIN own ON own.c = u.c AND own.t = u.above
+WHERE u.above <> u.node AND (own.x.tag IN ({_TAGS}) OR own.x.role IN ({_ROLES})) GROUP BY 1, 2""",
     "dom_search_filter": """
 SELECT row_id, "semanticName", text FROM dom_elements
 WHERE role = 'button' AND (contains(lower(coalesce("semanticName", '')), 'menu') OR contains(lower(coalesce(text, '')), 'menu') OR contains(lower(coalesce(tag, '')), 'menu')
