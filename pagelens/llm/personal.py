@@ -235,20 +235,33 @@ ROLES = ("a", "b", "l", "r")
 TYPES = ("NAME", "PHONE", "ID_NUMBER", "NONE")
 
 
+def _things(sig: DataFrame) -> DataFrame:
+    """sig with `thing`: whether a pair is likely the name of a thing, as its first word keeps to one second word.
+
+    Ways to stand in a text are counted, not rows, so copies of a text have no say. Where
+    a title stands before both words (together or each in another name) it is a person.
+    """
+    names = sig.where("kind = 'NAME'")
+    titled = lambda part: F.max(F.col("seed") == "NAME").alias(f"{part}_titled")
+    givens = names.groupBy("kind", "a").agg(F.count("*").alias("g_ways"), titled("a"))
+    families = names.groupBy("kind", "b").agg(titled("b"))
+    pairs = names.groupBy("kind", "a", "b").agg(F.count("*").alias("p_ways"))
+    keeps = (F.col("a") != "initial") & (F.col("p_ways") >= 5) & (F.col("p_ways") > 0.2 * F.col("g_ways")) & ~(F.col("a_titled") & F.col("b_titled"))
+    both = sig.join(givens, ["kind", "a"], "left").join(families, ["kind", "b"], "left").join(pairs, ["kind", "a", "b"], "left")
+    return both.select("kind", "form", *ROLES, "n", "seed", F.coalesce(keeps, F.lit(False)).alias("thing"))
+
+
 def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, a, b, l, r, label) of each signature after the rounds of scoring."""
     sig = found.where(F.col("kind").isin("NUM", "NAME")).groupBy("kind", "form", *ROLES).agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    sig = cut_lineage(sig.withColumn("label", F.col("seed")))
+    sig = cut_lineage(_things(cut_lineage(sig)).withColumn("label", F.col("seed")))
     sums = [F.sum(F.when(F.col("label") == t, F.col("n")).otherwise(0)).alias(t) for t in TYPES]
     for _ in range(rounds):
         # given names first: a context is judged by the share of its instances that start with a known one
         is_named = F.sum(F.when(F.col("label") == "NAME", F.col("n")).otherwise(0))
-        givens = sig.where("kind = 'NAME'").groupBy(F.lit("NAME").alias("kind"), "a").agg(F.sum("n").alias("g_total"), is_named.alias("g_name"))
-        pairs = sig.where("kind = 'NAME'").groupBy(F.lit("NAME").alias("kind"), "a", "b").agg(F.sum("n").alias("p_total"))
-        base = sig.join(givens, ["kind", "a"], "left").join(pairs, ["kind", "a", "b"], "left")
-        # a given name that keeps to one second word is the name of a thing
-        thing = (F.col("a") != "initial") & (F.col("p_total") >= 5) & (F.col("p_total") > 0.2 * F.col("g_total"))
-        base = base.withColumn("thing", thing).withColumn("known", F.coalesce(~thing & (F.col("a") != "initial") & (F.col("g_name") / (F.col("g_name") + 0.5) >= KNOWN), F.lit(False)))
+        givens = sig.where("kind = 'NAME'").groupBy(F.lit("NAME").alias("kind"), "a").agg(is_named.alias("g_name"))
+        base = sig.join(givens, ["kind", "a"], "left")
+        base = base.withColumn("given", F.coalesce((F.col("a") != "initial") & (F.col("g_name") / (F.col("g_name") + 0.5) >= KNOWN), F.lit(False))).withColumn("known", F.col("given") & ~F.col("thing"))
         base = cut_lineage(base)
         each = base.select("kind", "n", "label", "known", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("kind", "n", "label", "known", "p.*")
         graph = each.groupBy("kind", "role", "pattern").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("known") | (F.col("label") == "NAME"), F.col("n")).otherwise(0)).alias("near"), *sums)
@@ -270,12 +283,13 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         context = F.greatest(s("l", "NAME"), s("r", "NAME")) >= CONTEXT
         both = (s("l", "NAME") >= CONTEXT) & (s("r", "NAME") >= CONTEXT)
         plain_form = F.col("form") == "plain"
-        is_name = ~F.col("thing") & ((F.col("known") & (family | both)) | (plain_form & ((F.col("known") & context) | (family & ((F.col("a") == "initial") | context)) | both)))
+        one_side = (F.col("known") & family) | (plain_form & ((F.col("known") & context) | (family & ((F.col("a") == "initial") | context))))
+        is_name = (both & (plain_form | F.col("given"))) | (~F.col("thing") & one_side)
         votes = {t: 1.5 * s("a", t) + 1.5 * s("l", t) + 0.5 * s("r", t) + 0.5 * s("b", t) for t in TYPES[1:]}
         best = F.greatest(*votes.values())
         number = F.when(best < 0.5, "").when(votes["NONE"] == best, "NONE").when(votes["ID_NUMBER"] == best, "ID_NUMBER").otherwise("PHONE")
         new = F.when(F.col("seed") != "", F.col("seed")).when(F.col("kind") == "NAME", F.when(is_name, "NAME").otherwise("")).otherwise(number)
-        sig = cut_lineage(step.select("kind", "form", *ROLES, "n", "seed", new.alias("label")))
+        sig = cut_lineage(step.select("kind", "form", *ROLES, "n", "seed", "thing", new.alias("label")))
     return sig.select("kind", "form", *ROLES, "label")
 
 

@@ -34,6 +34,20 @@ def test_bootstrapping_finds_names_and_numbers(spark):
     assert not {v for k, v in out if "heme" in v.lower() or "build" in v.lower() or "View" in v or v in ("586-16-9313", "8356-417-22")}
 
 
+def test_copies_do_not_make_a_person_a_thing(spark):
+    copied = [(1000 + i, "Welcome, Mira Halvavale") for i in range(60)]
+    seen = ["Photo of Karl Wexathy {}", "By Karl Wexathy {}", "Karl Wexathy {} left", "Then Karl Wexathy {} said so", "Share with Karl Wexathy {} first", "Sign in as Karl Wexathy {} here"]
+    signed = [(2000 + 10 * i + j, t.format(w)) for i, w in enumerate(("today", "again")) for j, t in enumerate(seen)]
+    things = [(3000 + i, f"Clara Theme {w}") for i, w in enumerate(("here", "there", "is", "was", "now", "today", "again", "works"))]
+    df = texts(spark).unionAll(spark.createDataFrame(copied + signed + things, "doc_id long, text string"))
+    out = {(r.row_id, r.pii_value) for r in P.found(P.units_of(df)).where("pii_type = 'NAME'").collect()}
+    assert {(i, "Mira Halvavale") for i, _ in copied} <= out
+    assert {(i, "Karl Wexathy") for i, _ in signed} <= out
+    assert not any(v == "Clara Theme" for _, v in out)
+    text = {r.row_id: r.text for r in P.redacted(P.units_of(df)).collect()}
+    assert {text[i] for i, _ in copied} == {"Welcome, [NAME]"}
+
+
 def test_redaction_keeps_all_else(spark):
     df = spark.createDataFrame([(1, "Write to ana@x.test or\nbob@y.test now."), (2, "nothing here"), (3, None)], "doc_id long, text string")
     out = {r.row_id: r.text for r in P.redacted(P.units_of(df)).collect()}
