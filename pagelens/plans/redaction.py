@@ -46,12 +46,61 @@ def _merged(spark, d):
 
 
 def _redacted(spark, d):
-    """Observations' lines with every value found on their page replaced."""
+    """Lines of the observations with findings in their visible lines, each with these replaced.
+
+    Its SQL asks for no more; `_page_lines` and `_page_elements` redact whole pages.
+    """
     per_page = _detect(spark, d).where("kind = 'o'").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "value"))).alias("found"))
     o = lines(spark, d).where("kind = 'o'").join(per_page, "page")
     return o.select("page", "ord", r.redacted(F.col("text"), F.transform("found", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value")))).alias("text"))
 
 
+def _page_found(spark, d):
+    """(kind, page, found): a page's findings in elements' texts and values, then in lines, each type and value once.
+
+    found: array of type, value and target, in the order they are to be replaced in.
+    """
+    o = observed(spark, d)
+    fields = [F.coalesce(F.trim(c), F.lit("")) for c in ("text", "value", "placeholder")]
+    context = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("tag", "kind", "name")], fields[2], F.coalesce("aria_label", F.lit("")), fields[0]))
+    text, value = fields[:2]
+    hits = lambda t: F.transform(r.detections(t, F.col("context")), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value")))
+    # what stands in a password field is secret whatever its form
+    secret = F.when(F.lower("kind") == "password", F.array(F.struct(F.lit("ACCOUNT_IDENTIFIER").alias("type"), F.coalesce(F.nullif(value, F.lit("")), text).alias("value"))))
+    none = F.array().cast("array<struct<type:string,value:string>>")
+    o = o.withColumn("context", context).withColumn("all", F.concat(hits(text), F.when(value != text, hits(value)).otherwise(none), F.coalesce(secret, none)))
+    a = o.select(F.lit("o").alias("kind"), "page", F.lit(0).alias("part"), "ord", "target_id", F.posexplode("all").alias("i", "d"))
+    lined = lines(spark, d).select("kind", "page", F.lit(1).alias("part"), "ord", F.lit(None).cast("string").alias("target_id"), F.posexplode(r.detections(F.col("text"), F.lit(""))).alias("i", "d"))
+    keys = ["kind", "page", F.col("d")["type"].alias("type"), F.col("d")["value"].alias("value")]
+    at = F.struct("part", "ord", "i", F.col("target_id").alias("target"))
+    first = a.select(*keys, at.alias("at")).unionByName(lined.select(*keys, at.alias("at"))).where("value != ''").groupBy("kind", "page", "type", "value").agg(F.min("at").alias("at"))
+    per_page = first.groupBy("kind", "page").agg(F.array_sort(F.collect_list(F.struct("at", "type", "value"))).alias("found"))
+    return per_page.withColumn("found", F.transform("found", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["at"]["target"].alias("target"))))
+
+
+def _page_lines(spark, d):
+    """All lines of observations and documents with every value found on their page replaced."""
+    t = lines(spark, d).join(_page_found(spark, d), ["kind", "page"], "left")
+    return t.select("kind", "page", "ord", F.when(F.col("found").isNull(), F.col("text")).otherwise(r.redacted(F.col("text"), F.col("found"))).alias("text"))
+
+
+def _page_elements(spark, d):
+    """The four fields of all elements with every value found on their page replaced.
+
+    An element that a finding came from shows nothing else either: its value, and a text
+    or name in which nothing was replaced, go as a whole.
+    """
+    o = observed(spark, d).select("page", "ord", "target_id", "text", "name", "value", "placeholder")
+    o = o.join(_page_found(spark, d).where("kind = 'o'").drop("kind"), "page", "left")
+    clean = lambda c: F.when(F.col("found").isNull(), c).otherwise(r.redacted(c, F.col("found")))
+    whole = F.coalesce((F.col("target_id") != "") & F.exists("found", lambda x: x["target"].eqNullSafe(F.col("target_id"))), F.lit(False))
+    hidden = F.lit(r.OTHER_PLACEHOLDER)
+    shown = lambda c: F.when(whole & ~c.contains("[REDACTED"), hidden).otherwise(c)
+    text, name = (shown(clean(F.coalesce(c, F.lit("")))) for c in ("text", "name"))
+    value = clean(F.col("value"))
+    return o.select("page", "ord", "target_id", text.alias("text"), name.alias("name"), F.when(whole & (value != ""), hidden).otherwise(value).alias("value"), clean(F.col("placeholder")).alias("placeholder"))
+
+
 def _gate(spark, d):
     """The gate over unredacted documents: which of them would be stopped, and why."""
     t = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
@@ -84,6 +133,8 @@ QUERIES = {
     "pii_harmless_suppression": _harmless,
     "pii_dedup_sources": _merged,
     "pii_redact_lines": _redacted,
+    "pii_redact_page_lines": _page_lines,
+    "pii_redact_page_elements": _page_elements,
     "pii_leak_gate": _gate,
     "pii_detectors_truth_table": _truth,
 }
