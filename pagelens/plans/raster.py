@@ -101,7 +101,7 @@ def _faces(spark, d):
 
 
 def _markup(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").contains("<p>") | F.col("text").contains("<div>"))
+    t = table(spark, d, "documents").where(F.col("text").rlike("<[A-Za-z]"))  # without this there is no tag to parse
     return markup.elements(t, "doc_id", "text").select(F.col("key").alias("doc_id"), "ord", "parent", "depth", "tag", "path", "text")
 
 

@@ -24,6 +24,12 @@ class _Pages(HTMLParser):
         self.rows: list[list] = []
         self.open: list[int] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # a section of no known kind is a comment, as in browsers
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SELF_CLOSING and self.open and self.rows[self.open[-1]][3] == tag:
             self.open.pop()
