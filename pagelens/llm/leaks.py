@@ -4,19 +4,26 @@ Texts are read as a reader sees them (no markup, escapes, zero-width signs, line
 case, accents or punctuation) and become sequences of word hashes. A CGK random walk
 writes a window as a longer sequence in which few edits of words are few differing
 places; sampled places form a key, so windows within a small edit distance share one of
-several keys with high probability. Windows start at every word of an item and at every
-`STRIDE`-th word of a document; candidates are then verified exactly by edit distance,
-so a row of the result is never wrong, and the tests measure the recall.
+several keys with high probability. Candidates are then verified exactly by edit
+distance, so a row of the result is never wrong, and the tests measure the recall by length.
 
-The items are a stated query set: they go to the tasks in blocks of at most
-`BLOCK_CHARS`, each block in one pass over the documents without any shuffle.
+Windows follow the length of the item. Half of a long item (`LONG` words) holds many
+windows of about 13 words, so they start at every third word of a document and a leak
+shares many keys. A shorter item is searched by windows as long as the stretch that any
+of its leaks must hold unchanged, at every word, and one shared key is enough. Only the
+kinds of windows that some item needs are computed.
+
+One pass over the documents. The items' keys go to the tasks as one table while these have
+fewer than `MOST_WORDS` words (counted by Spark); beyond, keys are joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps of a walk (about twice the words it spans), walks, samples of each, places in a sample.
-STEPS, WALKS, SAMPLES, PLACES = 26, 3, 4, 8
-STRIDE = 3
-#: Keys that windows of a document and an item must share near one diagonal. The leaks of
-#: the test data share 118 or more of them, so this costs no recall.
-MIN_SHARED = 20
+from pagelens.session import cut_lineage
+
+#: Walks over a window and samples of each: a window has WALKS * SAMPLES keys.
+WALKS, SAMPLES = 3, 4
+#: Windows of long items: steps of a walk (about twice the words it spans), places of a sample, stride.
+STEPS, PLACES, STRIDE = 26, 8, 3
+#: Words in half of an item from which it is long.
+LONG = 30
 #: Width of the bands of diagonals in which shared keys are counted; bands overlap by half.
 BAND = 32
-BLOCK_CHARS = 8_000_000
+#: Words of items that every task may hold (8 bytes each, and about 15 times that for their keys).
+MOST_WORDS = 1_000_000
 PAD = 16
 MASK = (1 << 64) - 1
 
@@ -91,23 +101,59 @@ def _fixed(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, MASK, n, dtype=np.uint64) | np.uint64(1)
 
 
-TURN = _fixed(STEPS * WALKS, 1).reshape(WALKS, STEPS)
-MIX = _fixed(WALKS * SAMPLES * PLACES, 2).reshape(WALKS, SAMPLES, PLACES)
-#: The sampled steps of each key, in order.
-AT = np.stack([np.sort(np.random.default_rng(100 + i).choice(STEPS, PLACES, replace=False)) for i in range(WALKS * SAMPLES)]).reshape(WALKS, SAMPLES, PLACES)
-
-
-def keys_of(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The LSH keys (starts x WALKS * SAMPLES) of the windows of a padded stream of hashes."""
-    out = np.zeros((len(starts), WALKS * SAMPLES), np.uint64)
-    for w in range(WALKS):
-        at = starts.copy()
-        for step in range(STEPS):
-            sign = stream[at]
-            for s, p in np.argwhere(AT[w] == step):
-                out[:, w * SAMPLES + s] += sign * MIX[w, s, p]
-            at += ((sign * TURN[w, step]) >> np.uint64(63)).astype(at.dtype)
-    return out ^ np.arange(WALKS * SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+class Windows:
+    """One kind of windows: how they are walked and sampled. kind 0 is that of long items, else the words of a window."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind, self.stride = kind, 1 if kind else STRIDE
+        self.steps = 2 * kind + 2 if kind else STEPS
+        self.places = PLACES if not kind or kind >= 5 else self.steps  # of few words every place counts
+        self.walks, self.samples = (WALKS, SAMPLES) if self.places < self.steps else (1, 1)
+        self.turn = _fixed(self.steps * self.walks, 1 + kind).reshape(self.walks, self.steps)
+        shape = (self.walks, self.samples, self.places)
+        self.mix = _fixed(self.walks * self.samples * self.places, 101 + kind).reshape(shape)
+        chosen = [np.sort(np.random.default_rng(1000 * kind + 100 + i).choice(self.steps, self.places, replace=False)) for i in range(self.walks * self.samples)]
+        self.at = np.stack(chosen).reshape(shape)  # the sampled steps of each key, in order
+        self.salt = (np.arange(self.walks * self.samples, dtype=np.uint64) + np.uint64(64 * kind)) * np.uint64(0x9E3779B97F4A7C15)
+
+    def starts(self, words: int, stride: int) -> np.ndarray:
+        if self.kind:
+            return np.arange(0, words - self.kind + 1, stride)
+        return np.arange(0, max(1, words - STEPS // 2 + 1) if stride == 1 else max(1, words), stride)
+
+    def keys(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The LSH keys (starts x walks * samples) of the windows of a padded stream of hashes."""
+        out = np.zeros((len(starts), self.walks * self.samples), np.uint64)
+        for w in range(self.walks):
+            at = starts.copy()
+            for step in range(self.steps):
+                sign = stream[at]
+                if self.kind:
+                    sign = np.where(at - starts < self.kind, sign, np.uint64(0))
+                for s, p in np.argwhere(self.at[w] == step):
+                    out[:, w * self.samples + s] += sign * self.mix[w, s, p]
+                at += ((sign * self.turn[w, step]) >> np.uint64(63)).astype(at.dtype)
+        return out ^ self.salt
+
+
+@functools.cache
+def windows(kind: int) -> Windows:
+    return Windows(kind)
+
+
+@functools.cache
+def demand(n: int) -> tuple[int, int]:
+    """(kind of windows, keys that a leak of an item of n words must share).
+
+    A run of L words of which a tenth may be changed holds an unchanged stretch of at
+    least (L - L // 10) / (L // 10 + 1) words; a short item's windows are as long as the
+    least of these, so that every leak shares whole windows. For long items the number
+    follows from the windows in half of the item, a few of which every leak shares.
+    """
+    half = (n + 1) // 2
+    if half >= LONG:
+        return 0, max(3, (half - STEPS // 2) // 6)
+    return min(-(-(size - size // 10) // (size // 10 + 1)) for size in range(half, n + 1)), 1
 
 
 def leaked(item: np.ndarray, part: np.ndarray) -> bool:
@@ -140,126 +186,200 @@ def leaked(item: np.ndarray, part: np.ndarray) -> bool:
     return False
 
 
-class Index:
-    """Items and the keys of all their windows; of fixed size for one block of items."""
+def item_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of all windows of an item."""
+    kind = windows(demand(len(words))[0])
+    starts = kind.starts(len(words), 1)
+    found = kind.keys(np.concatenate([words, np.zeros(STEPS + PAD, np.uint64)]), starts)
+    return found.ravel(), np.repeat(starts, found.shape[1])
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        hashed = Hasher()
-        self.items = [(i, np.array([hashed[w] for w in words], np.uint64)) for i, text in items if (words := words_of(text))]
-        keys, whose, place = [], [], []
-        for k, (_, words) in enumerate(self.items):
-            stream = np.concatenate([words, np.zeros(STEPS + PAD, np.uint64)])
-            starts = np.arange(max(1, len(words) - STEPS // 2 + 1))
-            if len(words) < STEPS // 2:
-                starts = starts[:1]
-            found = keys_of(stream, starts)
-            keys.append(found.ravel())
-            whose.append(np.full(found.size, k))
-            place.append(np.repeat(starts, found.shape[1]))
-        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+
+class Stream:
+    """Some documents as one padded stream of hashes, and the places where windows start."""
+
+    def __init__(self, docs: list[np.ndarray]) -> None:
+        gap = np.zeros(STEPS + PAD, np.uint64)
+        self.sizes = [len(d) for d in docs]
+        self.offsets = np.cumsum([0, *(n + len(gap) for n in self.sizes)])
+        self.hashes = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
+
+    def keys(self, kind: int, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in the stream, keys) of the windows of a kind, some at a time."""
+        w = windows(kind)
+        parts = [o + w.starts(n, w.stride) for o, n in zip(self.offsets, self.sizes, strict=False) if n]
+        starts = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+        for lo in range(0, len(starts), most):
+            yield starts[lo : lo + most], w.keys(self.hashes, starts[lo : lo + most])
+
+
+class Index:
+    """Items and the keys of all their windows."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+        self.items = items
+        self.need = np.array([demand(len(words))[1] for _, words in items], np.int64)
+        self.kinds = sorted({demand(len(words))[0] for _, words in items})
+        made = [item_keys(words) for _, words in items]
+        flat = np.concatenate([k for k, _ in made]) if made else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.keys = flat[order]
-        self.whose = np.concatenate(whose)[order] if keys else np.empty(0, int)
-        self.place = np.concatenate(place)[order] if keys else np.empty(0, int)
+        self.whose = np.repeat(np.arange(len(made)), [len(k) for k, _ in made])[order] if made else np.empty(0, np.int64)
+        self.place = np.concatenate([p for _, p in made])[order] if made else np.empty(0, np.int64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         """(document's place, item_id) of each leak."""
-        gap = np.zeros(STEPS + PAD, np.uint64)
-        offsets = np.cumsum([0, *(len(d) + len(gap) for d in docs)])
-        stream = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
-        starts = np.concatenate([np.arange(o, o + max(1, len(d)), STRIDE) for o, d in zip(offsets, docs, strict=False) if len(d)] or [np.empty(0, np.int64)]).astype(np.int64)
-        found: dict[tuple[int, int], list[int]] = {}
-        for lo in range(0, len(starts), 100_000):
-            part = starts[lo : lo + 100_000]
-            keys = keys_of(stream, part)
-            row, col = np.nonzero(self.seen[(keys >> np.uint64(42)).astype(np.int64)])
-            hit = keys[row, col]
-            first = np.searchsorted(self.keys, hit, "left")
-            count = np.searchsorted(self.keys, hit, "right") - first
-            row, first, count = row[count > 0], first[count > 0], count[count > 0]
-            each = np.repeat(np.arange(len(row)), count)
-            entry = np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            at = part[row][each]
-            doc = np.searchsorted(offsets, at, "right") - 1
-            begin = at - offsets[doc] - self.place[entry]
-            for shift in (0, BAND // 2):
-                band = (begin + shift) // BAND
-                packed = np.stack([doc, self.whose[entry], band])
-                places, shared = np.unique(packed, axis=1, return_counts=True)
-                for d, k, x, c in zip(*places.tolist(), shared.tolist(), strict=True):
-                    found.setdefault((d, k, x * BAND - shift), []).append(c)
-        bands: dict[tuple[int, int], list[int]] = {}
-        for (d, k, x), c in found.items():
-            if sum(c) >= MIN_SHARED:
-                bands.setdefault((d, k), []).append(x)
-        for (d, k), begins in bands.items():
-            if self._verified(docs[d], k, begins):
+        stream = Stream(docs)
+        codes, counts = [], []
+        for kind in self.kinds:
+            for at, keys in stream.keys(kind):
+                row, col = np.nonzero(self.seen[(keys >> np.uint64(42)).astype(np.int64)])
+                hit = keys[row, col]
+                first = np.searchsorted(self.keys, hit, "left")
+                count = np.searchsorted(self.keys, hit, "right") - first
+                row, first, count = row[count > 0], first[count > 0], count[count > 0]
+                each = np.repeat(np.arange(len(row)), count)
+                entry = np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                place = at[row][each]
+                doc = np.searchsorted(stream.offsets, place, "right") - 1
+                begin = place - stream.offsets[doc] - self.place[entry]
+                pair = doc * len(self.items) + self.whose[entry]
+                for shift in (0, BAND // 2):  # a band by its first diagonal
+                    band = (begin + shift) // BAND * BAND - shift
+                    found, shared = np.unique((pair << 32) + (band + (1 << 31)), return_counts=True)
+                    codes.append(found)
+                    counts.append(shared)
+        if not codes:
+            return
+        found, where = np.unique(np.concatenate(codes), return_inverse=True)
+        shared = np.bincount(where, np.concatenate(counts), len(found))
+        pair, band = found >> 32, (found & ((1 << 32) - 1)) - (1 << 31)
+        enough = shared >= self.need[pair % max(1, len(self.items))]
+        bands: dict[int, list[int]] = {}
+        for p, x in zip(pair[enough].tolist(), band[enough].tolist(), strict=True):
+            bands.setdefault(p, []).append(x)
+        for p, begins in bands.items():
+            d, k = divmod(p, len(self.items))
+            if verified(docs[d], self.items[k][1], begins):
                 yield d, self.items[k][0]
 
-    def _verified(self, doc: np.ndarray, k: int, begins: list[int]) -> bool:
-        """The exact check of every stretch of the document that a band points to.
-
-        First a condition that every leak meets: of some half of the item's words in a
-        row, four fifths stand near their place. (A run of up to twice that half has at
-        most a fifth of the half's words changed in all.)
-        """
-        item = self.items[k][1]
-        n, half = len(item), (len(item) + 1) // 2
-        slack = n // 8 + 4  # a tenth of the words can be inserted or left out
-        for b in sorted(begins):
-            lo, hi = b - slack, b + BAND + n + slack
-            part = doc[max(0, lo) : hi]
-            padded = np.concatenate([np.zeros(max(0, -lo), np.uint64), part, np.zeros(hi - max(0, lo) - len(part), np.uint64)])
-            wide = np.lib.stride_tricks.sliding_window_view(padded, BAND + 2 * slack)[:n]
-            near = np.cumsum(np.r_[0, (wide == item[:, None]).any(axis=1)])
-            if (near[half:] - near[:-half]).max() * 5 >= 4 * half and leaked(item, part):
-                return True
-        return False
 
+def verified(doc: np.ndarray, item: np.ndarray, begins: list[int]) -> bool:
+    """The exact check of every stretch of the document that a band points to.
+
+    First a condition that every leak meets: of some half of the item's words in a
+    row, four fifths stand near their place. (A run of up to twice that half has at
+    most a fifth of the half's words changed in all.)
+    """
+    n, half = len(item), (len(item) + 1) // 2
+    slack = n // 8 + 4  # a tenth of the words can be inserted or left out
+    for b in sorted(begins):
+        lo, hi = b - slack, b + BAND + n + slack
+        part = doc[max(0, lo) : max(0, hi)]
+        padded = np.concatenate([np.zeros(max(0, -lo), np.uint64), part, np.zeros(hi - max(0, lo) - len(part), np.uint64)])
+        wide = np.lib.stride_tricks.sliding_window_view(padded, BAND + 2 * slack)[:n]
+        near = np.cumsum(np.r_[0, (wide == item[:, None]).any(axis=1)])
+        if (near[half:] - near[:-half]).max() * 5 >= 4 * half and leaked(item, part):
+            return True
+    return False
 
-def blocks(items: list[tuple[int, str]], most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for i, text in items:
-        if block and size + len(text or "") > most:
-            yield block
-            block, size = [], 0
-        block.append((i, text))
-        size += len(text or "")
-    if block:
-        yield block
 
+def hashed_words(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(name, words): the word hashes of each text as bytes; texts without a word have no row."""
 
-def found(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hasher()
+        for batch in batches:
+            rows = [(k, np.array([hashed[w] for w in words], np.uint64).tobytes()) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (words := words_of(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], [name, "words"])
+
+    return df.where(F.length(text) > 0).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"{name} long, words binary")
+
+
+_LAST: list = [None, None]
+
+
+def _index(model) -> Index:
+    """The index of a broadcast, made once in a Python worker."""
+    if _LAST[0] != model.value[0]:
+        _LAST[:] = model.value[0], Index([(i, np.frombuffer(w, np.uint64)) for i, w in model.value[1]])
+    return _LAST[1]
+
+
+def _searched(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str) -> DataFrame:
+    """Every document against all items, which each task holds."""
+    rows = sorted((r[0], bytes(r[1])) for r in items.toLocalIterator())
+    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, hashed = _index(model), Hasher()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            texts = batch.column(1).to_pylist()
+            for lo in range(0, len(ids), 500):
+                places: dict[str, list[int]] = {}  # a text that repeats is searched once
+                for i, t in zip(ids[lo : lo + 500], texts[lo : lo + 500], strict=True):
+                    places.setdefault(t, []).append(i)
+                owners = list(places.values())
+                streams = [np.array([hashed[w] for w in words_of(t)], np.uint64) for t in places]
+                rows = [(i, item) for d, item in index.search(streams) for i in owners[d]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(2)], [key, item_key])
+
+    return docs.where(F.length(text) > 0).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"{key} long, {item_key} long")
+
+
+def _joined(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str) -> DataFrame:
+    """The same by a shuffle on the keys: for items of any number, none of which is collected."""
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.frombuffer(w, np.uint64)
+                keys, place = item_keys(words)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), i)), pa.array(place.astype(np.int32)), pa.array(np.full(len(keys), demand(len(words))[1]), pa.int32())], ["k", "item", "place", "need"])
+
+    keyed = items.mapInArrow(own, "k long, item long, place int, need int")
+    kind_of = F.udf(lambda n: demand(n)[0], "int")  # one call for each length that occurs
+    lengths = items.select((F.octet_length("words") / 8).cast("int").alias("n")).distinct()
+    kinds = sorted(r[0] for r in lengths.select(kind_of("n")).distinct().collect())  # ten at most
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words = batch.column(0).to_numpy(), [np.frombuffer(w, np.uint64) for w in batch.column(1).to_pylist()]
+            stream = Stream(words)
+            for kind in kinds:
+                for at, keys in stream.keys(kind):
+                    doc = np.searchsorted(stream.offsets, at, "right") - 1
+                    n = keys.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[doc], n)), pa.array(np.repeat((at - stream.offsets[doc]).astype(np.int32), n)), pa.array(keys.ravel().view(np.int64))], ["doc", "at", "k"])
+
+    texts = cut_lineage(hashed_words(docs, key, text, "doc"))
+    hits = texts.mapInArrow(windowed, "doc long, at int, k long").join(keyed, "k")
+    shifts = F.explode(F.array(F.lit(0), F.lit(BAND // 2)))
+    begin = (F.floor((F.col("at") - F.col("place") + F.col("shift")) / BAND) * BAND - F.col("shift")).cast("int")
+    bands = hits.withColumn("shift", shifts).groupBy("doc", "item", begin.alias("begin")).agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    pairs = bands.groupBy("doc", "item").agg(F.collect_set("begin").alias("begins"))
+    whole = pairs.join(texts.withColumnRenamed("words", "dw"), "doc").join(items.withColumnRenamed(item_key, "item").withColumnRenamed("words", "iw"), "item")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [verified(np.frombuffer(d, np.uint64), np.frombuffer(i, np.uint64), b) for b, d, i in zip(*(batch.column(c).to_pylist() for c in range(2, 5)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    out = whole.select("doc", "item", "begins", "dw", "iw").mapInArrow(check, "doc long, item long")
+    return out.toDF(key, item_key)
+
+
+def found(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, item_id): each document with each item that leaked into it.
 
     Null, empty and blank documents or items match nothing; repeated documents match
     under each id. Any number of items may match a document, and a text is searched to
-    its end. Only items are collected (a held-out set), a block at a time to each pass.
+    its end. Whether the items fit into a task is told by their words, which Spark counts.
     """
-
-    def search(block: list[tuple[int, str]]):
-        model = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, hashed = None, Hasher()
-            for batch in batches:
-                index = index or Index(model.value)
-                ids = batch.column(0).to_pylist()
-                texts = batch.column(1).to_pylist()
-                for lo in range(0, len(ids), 500):
-                    streams = [np.array([hashed[w] for w in words_of(t)], np.uint64) for t in texts[lo : lo + 500]]
-                    rows = [(ids[lo + d], i) for d, i in index.search(streams)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(2)], [key, item_key])
-
-        return docs.where(F.length(text) > 0).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"{key} long, {item_key} long")
-
-    listed = [(r[0], r[1]) for r in items.select(F.col(item_key).cast("long"), F.col(text).cast("string")).where(F.col(text).isNotNull()).toLocalIterator()]
-    parts = [search(b) for b in blocks(listed)]
-    if not parts:
+    listed = cut_lineage(hashed_words(items, item_key, text, item_key))
+    size = listed.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    if not size:
         return docs.sparkSession.createDataFrame([], f"{key} long, {item_key} long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.distinct() if len(parts) > 1 else out
+    way = _searched if size <= 8 * most_words else _joined
+    return way(docs, listed, key, item_key, text)

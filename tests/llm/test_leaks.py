@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from pagelens.llm import leaks
 
@@ -74,8 +75,46 @@ def test_texts_are_read_as_a_reader_sees_them():
     assert leaks.words_of(None) == leaks.words_of(" ") == []
 
 
+def edited(r, run, share):
+    """A share of the words replaced, left out or put in before."""
+    out = list(run)
+    for i in sorted(r.sample(range(len(out)), int(len(out) * share)), reverse=True):
+        out[i : i + 1] = r.choice([["other"], [], [out[i], "more"]])
+    return out
+
+
+@pytest.mark.parametrize("share", [0, 0.1])
+@pytest.mark.parametrize("part", [0.5, 1])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 13, 15, 20, 30, 40, 60, 100])
+def test_recall_by_length(n, part, share):
+    r = random.Random(n)
+    words = [f"v{i}" for i in range(5000)]
+    h = leaks.Hasher()
+    code = lambda ws: np.array([h[w] for w in ws], np.uint64)
+    items = [[r.choice(words) for _ in range(n)] for _ in range(40)]
+    docs = []
+    for it in items:
+        size = int(np.ceil(n * part))
+        at = r.randrange(n - size + 1)
+        docs.append(code([*(r.choice(words) for _ in range(r.randrange(40))), *edited(r, it[at : at + size], share), *(r.choice(words) for _ in range(r.randrange(40)))]))
+    coded = [code(it) for it in items]
+    want = {(d, i) for d, doc in enumerate(docs) for i, it in enumerate(coded) if leaks.leaked(it, doc)}
+    got = set(leaks.Index(list(enumerate(coded))).search(docs))
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 36
+
+
+def test_both_ways_give_the_same_rows(spark):
+    items, docs = cases(seed=8, n=60)
+    short = [it[:n] for it, n in zip(items, (3, 5, 9, 14, 21, 40), strict=False)]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)] + [(900, " ".join(docs[0])), (901, None), (902, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items + short)] + [(98, None), (99, " ")], "item_id long, text string")
+    one = sorted(map(tuple, leaks.found(d, b).collect()))
+    assert one == sorted(map(tuple, leaks.found(d, b, most_words=0).collect())) and len(one) > 30
+
+
 def test_nothing_to_search(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "text")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
     assert leaks.found(d, b).count() == 0
-    assert list(leaks.blocks([(1, "ab"), (2, "cd"), (3, None)], most=3)) == [[(1, "ab")], [(2, "cd"), (3, None)]]
+    assert leaks.found(d, spark.createDataFrame([(1, None), (2, " ")], b.schema)).count() == 0
+    assert leaks.found(d.limit(0), spark.createDataFrame([(1, "a text")], b.schema), most_words=0).count() == 0
