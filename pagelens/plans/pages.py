@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelens.functions.columns import byte_size, ratio_label
-from pagelens.operators import pages
+from pagelens.operators import hierarchy, pages
 from pagelens.plans.training import _DOM
 from pagelens.sources.tables import table
 
@@ -85,15 +85,11 @@ def _lookup(spark, d):
 
 
 def _interactive_ancestor(spark, d):
-    """The nearest element above that is interactive, by the paths of the hierarchy."""
-    from pagelens.operators import hierarchy
-
-    e = elements(spark, d)
-    nodes = hierarchy.hierarchy(table(spark, d, "dom_elements")).where("depth > 0").select("grp", "node", "path")
-    own = e.where("target_id is not null").groupBy("page", "target_id").agg(F.min_by("tag", "row_id").alias("tag"), F.min_by("role", "row_id").alias("role"))
-    wanted = own.where(F.col("tag").isin(*pages.INTERACTIVE_TAGS) | F.col("role").isin(*pages.INTERACTIVE_ROLES)).select(F.col("page").alias("grp"), F.col("target_id").alias("above"), F.col("tag").alias("above_tag"))
-    up = nodes.select("grp", "node", F.posexplode(F.split("path", "/")).alias("level", "above")).where("above != node")
-    return up.join(wanted, ["grp", "above"]).groupBy("grp", "node").agg(F.max_by("above", "level").alias("ancestor"), F.max_by("above_tag", "level").alias("ancestor_tag"))
+    """The nearest element above that is interactive, carried down by the walk of the hierarchy."""
+    tag, role = F.min_by("tag", "row_id"), F.min_by("role", "row_id")
+    wanted = tag.isin(*pages.INTERACTIVE_TAGS) | role.isin(*pages.INTERACTIVE_ROLES)
+    rows = hierarchy.hierarchy(table(spark, d, "dom_elements"), with_paths=False, mark=F.when(wanted, F.coalesce(tag, F.lit(""))))
+    return rows.where("near is not null").select("grp", "node", F.col("near").alias("ancestor"), F.nullif("near_mark", F.lit("")).alias("ancestor_tag"))
 
 
 def _search(spark, d):
@@ -206,7 +202,7 @@ WITH f AS (SELECT perception_cycle_id AS c, target_id AS t, arg_min(struct_pack(
 SELECT e.row_id, f.x.tag AS parent_tag, f.x.role AS parent_role FROM dom_elements e LEFT JOIN f ON f.c = e.perception_cycle_id AND f.t = e.parent_id""",
     "dom_interactive_ancestor": _DOM
     + f""", own AS (SELECT perception_cycle_id AS c, target_id AS t, arg_min(struct_pack(tag := tag, role := role), row_id) AS x FROM dom_elements WHERE target_id IS NOT NULL GROUP BY 1, 2),
-u AS (SELECT c, t AS node, unnest(string_split(path, '/')) AS above, unnest(range(1, len(string_split(path, '/')) + 1)) AS level FROM r WHERE depth > 0)
+u AS (SELECT c, t AS node, unnest(path) AS above, unnest(range(1, len(path) + 1)) AS level FROM r WHERE depth > 0)
 SELECT u.c AS grp, u.node, arg_max(u.above, u.level) AS ancestor, arg_max(own.x.tag, u.level) AS ancestor_tag FROM u JOIN own ON own.c = u.c AND own.t = u.above
 WHERE u.above <> u.node AND (own.x.tag IN ({_TAGS}) OR own.x.role IN ({_ROLES})) GROUP BY 1, 2""",
     "dom_search_filter": """

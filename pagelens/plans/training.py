@@ -10,8 +10,12 @@ QUERIES = {
     "p1_spatial": lambda spark, d: nested.typed(nested.shred(table(spark, d, "raw_records")), "spatial"),
     "p1_warnings": lambda spark, d: nested.typed(nested.shred(table(spark, d, "raw_records")), "warning"),
     "p3_found": lambda spark, d: hierarchy.found(table(spark, d, "dom_elements")),
-    "p3_paths": lambda spark, d: hierarchy.hierarchy(table(spark, d, "dom_elements")),
+    "p3_paths": lambda spark, d: hierarchy.paths(table(spark, d, "dom_elements")),
+    "p3_cycles": lambda spark, d: hierarchy.cycles(table(spark, d, "dom_elements")),
     "p3_descendants": lambda spark, d: hierarchy.descendants(table(spark, d, "dom_elements")),
+    # the ways for captures and components too large for a task, taken from 20 nodes on
+    "hierarchy_split": lambda spark, d: hierarchy.paths(table(spark, d, "dom_elements"), max_local=20),
+    "hierarchy_split_cycles": lambda spark, d: hierarchy.cycles(table(spark, d, "dom_elements"), max_local=20),
     "p5_found": lambda spark, d: messages.repeated(table(spark, d, "timeline")),
     "p5_one_copy": lambda spark, d: messages.one_copy(table(spark, d, "timeline")),
 }
@@ -23,12 +27,21 @@ WITH RECURSIVE n AS (
 ), e AS (
   SELECT n.c, n.t, u.t AS p FROM n LEFT JOIN n u ON u.c = n.c AND u.t = n.p
 ), r AS (
-  SELECT c, t, t AS root, 0 AS depth, t AS path FROM e WHERE p IS NULL
+  SELECT c, t, t AS root, 0 AS depth, [t] AS path FROM e WHERE p IS NULL
   UNION ALL
-  SELECT e.c, e.t, r.root, r.depth + 1, r.path || '/' || e.t FROM r JOIN e ON e.c = r.c AND e.p = r.t
+  SELECT e.c, e.t, r.root, r.depth + 1, list_append(r.path, e.t) FROM r JOIN e ON e.c = r.c AND e.p = r.t
 ), d AS (
   SELECT c, a AS t, count(*) AS below
-  FROM (SELECT c, t, unnest(string_split(path, '/')) AS a FROM r) WHERE a <> t GROUP BY 1, 2
+  FROM (SELECT c, t, unnest(path) AS a FROM r) WHERE a <> t GROUP BY 1, 2
+)
+"""
+# nodes no root reaches, followed upwards; those that come back to themselves are on a cycle
+_RINGS = _DOM + """, w AS (
+  SELECT e.c, e.t, e.p AS x FROM e LEFT JOIN r ON r.c = e.c AND r.t = e.t WHERE r.t IS NULL
+  UNION
+  SELECT w.c, w.t, e.p FROM w JOIN e ON e.c = w.c AND e.t = w.x
+), ring AS (
+  SELECT c, t, (SELECT min(v.x) FROM w v WHERE v.c = w.c AND v.t = w.t) AS least FROM w WHERE x = t
 )
 """
 
@@ -45,13 +58,18 @@ FROM e LEFT JOIN r ON r.c = e.c AND r.t = e.t LEFT JOIN d ON d.c = e.c AND d.t =
 SELECT e.c AS grp, e.t AS node, coalesce(r.root, '') AS root,
        CAST(coalesce(r.depth, -1) AS BIGINT) AS depth,
        CAST(CASE WHEN r.t IS NULL THEN -1 ELSE coalesce(d.below, 0) END AS BIGINT) AS descendants,
-       r.path AS path
+       array_to_string(r.path, '/') AS path
 FROM e LEFT JOIN r ON r.c = e.c AND r.t = e.t LEFT JOIN d ON d.c = e.c AND d.t = e.t
 """,
     "p3_descendants": _DOM
     + """
 SELECT c AS grp, a AS node, t AS descendant
-FROM (SELECT c, t, unnest(string_split(path, '/')) AS a FROM r) WHERE a <> t
+FROM (SELECT c, t, unnest(path) AS a FROM r) WHERE a <> t
+""",
+    "p3_cycles": _RINGS
+    + """
+SELECT e.c AS grp, e.t AS node, e.p AS parent, (SELECT count(*) FROM ring x WHERE x.c = e.c AND x.least = e.t) AS length
+FROM e JOIN ring ON ring.c = e.c AND ring.t = e.t WHERE ring.least = e.t
 """,
     "p5_found": r"""
 SELECT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS id, count(*) AS copies
@@ -59,3 +77,5 @@ FROM timeline WHERE regexp_replace(id, '^\s+|\s+$', '', 'g') <> ''
 GROUP BY 1 HAVING count(*) > 1
 """,
 }
+SQL["hierarchy_split"] = SQL["p3_paths"]
+SQL["hierarchy_split_cycles"] = SQL["p3_cycles"]

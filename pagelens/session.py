@@ -48,6 +48,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written once as compressed files into the shared folder, and read from there.
+
+    For the rounds of a loop: a checkpoint would carry on what the optimizer knows of each
+    round's columns, which grows from round to round; a table carries only its schema.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its files make too few tasks for work that is heavy on the CPU.
 

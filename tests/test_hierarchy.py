@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from pagelens.operators import hierarchy as h
 
 SCHEMA = "perception_cycle_id string, target_id string, parent_id string"
@@ -61,12 +63,25 @@ def test_local_distributed_and_doubling_agree_with_brute_force(spark):
 
 
 def test_paths_and_back_edges(spark):
-    rows = [("g", "a", None), ("g", "b", "a"), ("g", "c", "b"), ("g", "x", "y"), ("g", "y", "x"), ("g", "z", "y")]
-    out = {r.node: (r.path, r.depth) for r in h.hierarchy(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out["c"] == ("a/b/c", 2) and out["z"] == (None, -1)
-    assert len(h.back_edges({n: p for _, n, p in rows})) == 1
-    pairs = {(r.node, r.descendant) for r in h.descendants(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert pairs == {("a", "b"), ("a", "c"), ("b", "c")}
+    rows = [("g", "a", None), ("g", "b/1", "a"), ("g", "c", "b/1"), ("g", "x", "y"), ("g", "y", "x"), ("g", "z", "y"), ("g", "self", "self"), (None, "q", "p"), (None, "p", "r"), (None, "r", "q"), (None, "s", "r")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most in (500_000, 3, 0):
+        out = {r.node: r for r in h.hierarchy(df, max_local=most).collect()}
+        assert out["c"].path == ["a", "b/1", "c"] and out["c"].depth == 2 and out["z"].path is None
+        assert {n for n, r in out.items() if r.on_cycle} == {"x", "y", "self", "p", "q", "r"}
+        assert out["z"].on_cycle is False and out["z"].cycle == "x" and out["s"].cycle == "p" and out["a"].on_cycle is None
+        ends = {(r.grp, r.node, r.parent, r.length) for r in h.cycles(df, max_local=most).collect()}
+        assert ends == {("g", "x", "y", 2), ("g", "self", "self", 1), (None, "p", "r", 3)}
+        pairs = {(r.node, r.descendant) for r in h.descendants(df, max_local=most).collect()}
+        assert pairs == {("a", "b/1"), ("a", "c"), ("b/1", "c")}
+
+
+def test_nearest_marked_ancestor(spark):
+    rows = [("g", "a", None, "link"), ("g", "b", "a", None), ("g", "c", "b", None), ("g", "d", "c", "button"), ("g", "e", "d", None), ("g", "x", "x", "link")]
+    df = spark.createDataFrame(rows, SCHEMA + ", kind string")
+    for most in (500_000, 3, 0):
+        out = {r.node: (r.near, r.near_mark) for r in h.hierarchy(df, max_local=most, mark=F.max("kind")).collect()}
+        assert out == {"a": (None, None), "b": ("a", "link"), "c": ("a", "link"), "d": ("a", "link"), "e": ("d", "button"), "x": (None, None)}
 
 
 def test_deep_chain_and_empty(spark):
