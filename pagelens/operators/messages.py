@@ -1,26 +1,36 @@
 """Messages delivered more than once: exact quotient tables over permuted identifiers.
 
-An identifier of the usual form packs without loss into a fixed width of 70 bits (44
-for its digits, 26 for its base-36 part). An invertible mixing permutes these bits, and
-they are split into a quotient (the shard) and a remainder, which is kept complete:
-equal quotient and remainder mean equal identifiers, so there are no false matches.
-Identifiers of any other form keep their whole text as the remainder, in shards by its
-hash; they are just as exact.
-
-Each shard's table is Spark's own hash aggregate on (quotient, remainder): its map
-holds the complete key, every task first inserts its own rows (so a message that makes
-up a third of all rows leaves each task as one row) and the shards are merged after
-one shuffle.
+An identifier of a fixed width (a stamped one, a UUID, hex or decimal digits) packs
+without loss into two words. Invertible turns permute them, and they are split into a
+quotient and a remainder, which is kept complete: equal form, quotient and remainder mean
+equal identifiers, so there are no false matches. Any other text is its own remainder, in
+a shard by its hash, and just as exact.
+
+Every task first inserts its own identifiers into a hash table (so one that makes up a
+third of all rows leaves a task as one entry, however often it came), its entries go to
+the shard of their quotient, and the shard's table inserts each identifier once and
+counts its copies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The form most identifiers have, `<3 letters>-<13 digits>-<5 of base 36>`.
-USUAL_FORM = r"^evt-[0-9]{13}-[0-9a-z]{5}$"
+from pagelens.session import kept
+
+#: Bits of the quotient, which names the shard.
+QUOTIENT = 16
+#: Entries that a task's table holds before it is put out and begun anew.
+MOST_HELD = 2_000_000
+KEY = ("_q", "_r", "_s", "_f", "_t")
+#: Forms of identifiers in lower case, and how each packs into (high, low).
+STAMPED, UUID, HEX = r"^evt-[0-9]{13}-[0-9a-z]{5}$", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9a-f]{32}$"
+DIGITS = r"^[0-9]{1,18}$"
 
 
 def normal_id(raw: Column) -> Column:
@@ -29,35 +39,73 @@ def normal_id(raw: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
-def quotient_key(ident: Column, quotient_bits: int = 16) -> tuple[Column, Column, Column]:
-    """(quotient, remainder, text): equal in all three exactly where `ident` is equal.
+def _turn(word: Column, salt: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word, F.lit(salt)), 64 - bits) if bits < 64 else F.xxhash64(word, F.lit(salt))
+
+
+def quotient_key(ident: Column) -> Column:
+    """struct(_q quotient, _r and _s remainder, _f form, _t text): equal exactly where `ident` is equal.
 
-    The usual form packs into 13 digits (44 bits) and 5 base-36 signs (26 bits): high =
-    digits, low = base-36 value. high is mixed with low and low with high in turns, each
-    turn invertible, which spreads runs of neighbouring times over all shards.
+    Stamped identifiers are 44 bits of digits and 26 of base 36, and their remainder is
+    one word; the others are two words of 64 bits. One word is mixed with the other and
+    the other with the one in turns, each turn invertible, which spreads runs of
+    neighbouring values over all shards. _f is 1 (stamped), 2 (UUID), 3 (32 hex digits),
+    100 + n (n digits) or 0 (any other text).
     """
-    usual = ident.rlike(USUAL_FORM)
-    high = F.when(usual, F.substring(ident, 5, 13).cast("long"))
-    low = F.when(usual, F.conv(F.substring(ident, 19, 5), 36, 10).cast("long"))
-    # Feistel turns on two words: (h, l) -> (h, l ^ f(h)) -> (h ^ g(l), l)
-    low1 = low.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(high, F.lit(1)), 38))  # 26 bits stay 26 bits
-    high1 = high.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(low1, F.lit(2)), 20))  # 44 bits stay 44 bits
-    quotient = F.when(usual, F.shiftright(high1, 44 - quotient_bits)).otherwise(F.shiftrightunsigned(F.xxhash64(ident), 64 - quotient_bits)).cast("int")
-    rest = high1.bitwiseAND((1 << (44 - quotient_bits)) - 1)
-    remainder = F.shiftleft(rest, 26).bitwiseOR(low1)  # 28 + 26 bits: complete
-    text = F.when(~usual, ident)
-    return quotient, remainder, text
-
-
-def identifier(quotient: Column, remainder: Column, text: Column, quotient_bits: int = 16) -> Column:
+    bare = F.replace(ident, F.lit("-"), F.lit(""))
+    form = F.when(ident.rlike(STAMPED), 1).when(ident.rlike(UUID), 2).when(ident.rlike(HEX), 3).when(ident.rlike(DIGITS), F.length(ident) + 100).otherwise(0)
+    word = lambda c: F.conv(c, 16, -10).cast("long")
+    high = F.when(form == 1, F.substring(ident, 5, 13).cast("long")).when(form.isin(2, 3), word(F.substring(bare, 1, 16))).when(form > 100, F.lit(0).cast("long"))
+    low = F.when(form == 1, F.conv(F.substring(ident, 19, 5), 36, 10).cast("long")).when(form.isin(2, 3), word(F.substring(bare, 17, 16))).when(form > 100, ident.try_cast("long"))
+    stamped = form == 1
+    # turns on two words: (h, l) -> (h, l ^ f(h)) -> (h ^ g(l), l)
+    low1 = low.bitwiseXOR(F.when(stamped, _turn(high, 1, 26)).otherwise(_turn(high, 1, 64)))
+    high1 = high.bitwiseXOR(F.when(stamped, _turn(low1, 2, 44)).otherwise(_turn(low1, 2, 64)))
+    quotient = F.when(stamped, F.shiftrightunsigned(high1, 44 - QUOTIENT)).when(form > 0, F.shiftrightunsigned(high1, 64 - QUOTIENT)).otherwise(F.shiftrightunsigned(F.xxhash64(ident), 64 - QUOTIENT)).cast("int")
+    short = F.shiftleft(high1.bitwiseAND((1 << (44 - QUOTIENT)) - 1), 26).bitwiseOR(low1)  # 28 + 26 bits: complete
+    rest = F.when(stamped, short).otherwise(high1.bitwiseAND((1 << (64 - QUOTIENT)) - 1))
+    second = F.when(~stamped, low1)
+    return F.struct(quotient.alias("_q"), rest.alias("_r"), second.alias("_s"), form.cast("int").alias("_f"), F.when(form == 0, ident).alias("_t"))
+
+
+def identifier(q: Column, r: Column, s: Column, f: Column, t: Column) -> Column:
     """The identifier of a key: the permutation turned back."""
-    low1 = remainder.bitwiseAND((1 << 26) - 1)
-    high1 = F.shiftleft(quotient.cast("long"), 44 - quotient_bits).bitwiseOR(F.shiftrightunsigned(remainder, 26))
-    high = high1.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(low1, F.lit(2)), 20))
-    low = low1.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(high, F.lit(1)), 38))
-    digits = F.lpad(high.cast("string"), 13, "0")
-    base36 = F.lpad(F.lower(F.conv(low.cast("string"), 10, 36)), 5, "0")
-    return F.coalesce(text, F.concat(F.lit("evt-"), digits, F.lit("-"), base36))
+    stamped = f == 1
+    low1 = F.when(stamped, r.bitwiseAND((1 << 26) - 1)).otherwise(s)
+    high1 = F.when(stamped, F.shiftleft(q.cast("long"), 44 - QUOTIENT).bitwiseOR(F.shiftrightunsigned(r, 26))).otherwise(F.shiftleft(q.cast("long"), 64 - QUOTIENT).bitwiseOR(r))
+    high = high1.bitwiseXOR(F.when(stamped, _turn(low1, 2, 44)).otherwise(_turn(low1, 2, 64)))
+    low = low1.bitwiseXOR(F.when(stamped, _turn(high, 1, 26)).otherwise(_turn(high, 1, 64)))
+    stamp = F.concat(F.lit("evt-"), F.lpad(high.cast("string"), 13, "0"), F.lit("-"), F.lpad(F.lower(F.conv(low.cast("string"), 10, 36)), 5, "0"))
+    hexed = F.lower(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
+    dashed = F.regexp_replace(hexed, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    return F.when(f == 0, t).when(stamped, stamp).when(f == 2, dashed).when(f == 3, hexed).otherwise(F.lpad(low.cast("string"), f - 100, F.lit("0")))
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """KEY and n of each distinct key: tables of the tasks first, then one of each quotient."""
+
+    def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def table() -> pa.Table:
+            t = pa.concat_tables(held).combine_chunks()
+            return t.group_by(list(KEY), use_threads=False).aggregate([("n", "sum")]).rename_columns([*KEY, "n"])
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch.append_column("n", pa.array([1] * len(batch), pa.int64()))]))
+            size += len(batch)
+            if size >= 1_000_000:
+                done = table()
+                if len(done) >= MOST_HELD // 2:
+                    yield from done.to_batches(100_000)
+                    held, size = [], 0
+                else:
+                    held, size = [done], len(done)
+        if held:
+            yield from table().to_batches(100_000)
+
+    entries = keys.select(*KEY).mapInArrow(insert, "_q int, _r long, _s long, _f int, _t string, n long")
+    return entries.repartition("_q").groupBy(*KEY).agg(F.sum("n").alias("n"))  # a quotient is whole in its shard: no other shuffle
 
 
 def repeated(df: DataFrame, id_column: str = "id") -> DataFrame:
@@ -66,10 +114,9 @@ def repeated(df: DataFrame, id_column: str = "id") -> DataFrame:
     Null, empty and blank identifiers aren't messages and give no row. An empty table
     gives an empty result; other columns aren't read.
     """
-    q, r, t = quotient_key(F.col("_k"))
-    keyed = df.select(normal_id(F.col(id_column)).alias("_k")).where("_k is not null").select(q.alias("_q"), r.alias("_r"), t.alias("_t"))
-    counted = keyed.groupBy("_q", "_r", "_t").agg(F.count("*").alias("copies")).where("copies > 1")
-    return counted.select(identifier(F.col("_q"), F.col("_r"), F.col("_t")).alias("id"), "copies")
+    ids = df.select(normal_id(F.col(id_column)).alias("_k")).where("_k is not null")
+    several = counted(ids.select(quotient_key(F.col("_k")).alias("k")).select("k.*")).where("n > 1")
+    return several.select(identifier(*[F.col(c) for c in KEY]).alias("id"), F.col("n").alias("copies"))
 
 
 def one_copy(df: DataFrame, id_column: str = "id", order: tuple[str, ...] = ("received_at", "batch_id", "timestamp")) -> DataFrame:
@@ -79,16 +126,18 @@ def one_copy(df: DataFrame, id_column: str = "id", order: tuple[str, ...] = ("re
     all its columns, so the result doesn't depend on the partitioning. Its identifier
     stays as that copy wrote it. Columns keep their names, whatever these are.
 
-    Only the few rows whose identifier repeats are ordered: rows are reduced to one
-    struct per key with partial aggregation before the shuffle.
+    Identifiers are counted first, from their column alone. Rows whose identifier doesn't
+    repeat stay where they are read; only the others are reduced to one each, in every
+    task before the shuffle. (The repeated identifiers are joined by Spark's choice, by
+    broadcast only while they are small.)
     """
     names = df.columns
     inner = [f"c{i}" for i in range(len(names))]
     flat = df.toDF(*inner)
-    ident = inner[names.index(id_column)]
-    keyed = flat.withColumn("_k", normal_id(F.col(ident)))
-    without = keyed.where("_k is null").select(*inner)
-    q, r, t = quotient_key(F.col("_k"))
+    ident = normal_id(F.col(inner[names.index(id_column)]))
+    several = kept(repeated(df, id_column).select(F.col("id").alias("_several")))
+    marked = flat.withColumn("_k", ident).join(several, F.col("_k") == F.col("_several"), "left")
+    alone = marked.where("_several is null").select(*inner)
     by = []
     for n in order:
         if n in names:
@@ -96,5 +145,5 @@ def one_copy(df: DataFrame, id_column: str = "id", order: tuple[str, ...] = ("re
             by += [c.isNull(), c]
     comparable = [F.to_json(F.struct(c)) if isinstance(flat.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in inner]
     rank = F.struct(*[x.alias(f"o{i}") for i, x in enumerate([*by, *comparable])])
-    kept = keyed.where("_k is not null").groupBy(q.alias("_q"), r.alias("_r"), t.alias("_t")).agg(F.min_by(F.struct(*inner), rank).alias("row")).select("row.*")
-    return kept.unionAll(without).toDF(*names)
+    first = marked.where("_several is not null").groupBy("_k").agg(F.min_by(F.struct(*inner), rank).alias("row")).select("row.*")
+    return alone.unionAll(first).toDF(*names)

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pagelens.operators import hierarchy, messages, nested
 from pagelens.sources.tables import table
 
+
+
+def _one_copy(spark, d):
+    """All columns of one copy of each message, times in microseconds."""
+    rows = messages.one_copy(table(spark, d, "timeline"))
+    return rows.withColumns({c: F.unix_micros(c) for c in ("timestamp", "received_at")})
+
+
 QUERIES = {
     "p1_found": lambda spark, d: nested.found(table(spark, d, "raw_records")),
     "p1_spatial": lambda spark, d: nested.typed(nested.shred(table(spark, d, "raw_records")), "spatial"),
@@ -17,9 +27,11 @@ QUERIES = {
     "hierarchy_split": lambda spark, d: hierarchy.paths(table(spark, d, "dom_elements"), max_local=20),
     "hierarchy_split_cycles": lambda spark, d: hierarchy.cycles(table(spark, d, "dom_elements"), max_local=20),
     "p5_found": lambda spark, d: messages.repeated(table(spark, d, "timeline")),
-    "p5_one_copy": lambda spark, d: messages.one_copy(table(spark, d, "timeline")),
+    "p5_one_copy": _one_copy,
 }
 
+_TIMELINE = ("id", "timestamp", "component", "event", "status", "latencyMs", "metadata", "perception_cycle_id", "tab_id", "batch_id", "received_at")
+
 _DOM = """
 WITH RECURSIVE n AS (
   SELECT perception_cycle_id AS c, target_id AS t, min(nullif(parent_id, '')) AS p
@@ -75,6 +87,12 @@ FROM e JOIN ring ON ring.c = e.c AND ring.t = e.t WHERE ring.least = e.t
 SELECT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS id, count(*) AS copies
 FROM timeline WHERE regexp_replace(id, '^\s+|\s+$', '', 'g') <> ''
 GROUP BY 1 HAVING count(*) > 1
+""",
+    "p5_one_copy": rf"""
+WITH k AS (SELECT *, nullif(lower(regexp_replace(id, '^\s+|\s+$', '', 'g')), '') AS k FROM timeline),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY received_at NULLS LAST, batch_id NULLS LAST, timestamp NULLS LAST, {", ".join(f'"{c}" NULLS FIRST' for c in _TIMELINE)}) AS rn FROM k)
+SELECT id, epoch_us(timestamp) AS timestamp, component, event, status, "latencyMs", metadata, perception_cycle_id, tab_id, batch_id, epoch_us(received_at) AS received_at
+FROM o WHERE k IS NULL OR rn = 1
 """,
 }
 SQL["hierarchy_split"] = SQL["p3_paths"]

@@ -22,7 +22,7 @@ def plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return None
     if isinstance(x, float):
-        return int(x) if x == int(x) and abs(x) < 1e15 else round(x, 9)
+        return int(x) if abs(x) < 1e15 and x == int(x) else round(x, 9)
     return str(x) if not isinstance(x, (bool, int)) else int(x)
 
 

@@ -26,12 +26,22 @@ def test_counts_match_brute_force(spark, ids):
 
 def test_permutation_is_exact(spark):
     ids = [f"evt-{n:013d}-{s}" for n in (0, 1, 10**13 - 1, 1767578092944) for s in ("00000", "zzzzz", "a0b1c", "00001")]
+    ids += ["0", "00", "7", "007", "999999999999999999", "1234567890123456789", "00000000-0000-0000-0000-000000000000", "ffffffff-ffff-ffff-ffff-ffffffffffff", "8c3b51f0-9d5e-4d0a-8a51-0d2f3a9be001"]
+    ids += ["f" * 32, "0" * 32, "8c3b51f09d5e4d0a8a510d2f3a9be001", "evt-1-a", "ä", "8c3b51f0-9d5e"]
     df = spark.createDataFrame([(i,) for i in ids], "k string")
-    q, r, t = messages.quotient_key(F.col("k"))
-    keys = df.select("k", q.alias("q"), r.alias("r"), t.alias("t"))
-    assert keys.select("q", "r", "t").distinct().count() == len(ids)
-    back = keys.select("k", messages.identifier(F.col("q"), F.col("r"), F.col("t")).alias("b")).collect()
-    assert all(x.k == x.b for x in back)
+    keys = df.select("k", messages.quotient_key(F.col("k")).alias("x")).select("k", "x.*")
+    assert keys.select(*messages.KEY).distinct().count() == len(ids)
+    back = keys.select("k", messages.identifier(*[F.col(c) for c in messages.KEY]).alias("b")).collect()
+    assert [x.k for x in back] == [x.b for x in back]
+
+
+def test_a_task_that_begins_its_table_anew_counts_the_same(spark, monkeypatch):
+    ids = [("hot",)] * 500 + [(str(i % 700),) for i in range(1400)]
+    df = spark.createDataFrame(ids, "id string").coalesce(1)
+    got = {r.id: r.copies for r in messages.repeated(df).collect()}
+    assert got == {"hot": 500, **{str(i): 2 for i in range(700)}}
+    plan = messages.repeated(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # by quotient alone
 
 
 def test_one_copy_keeps_every_row_without_id(spark):
