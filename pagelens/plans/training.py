@@ -17,8 +17,9 @@ def _one_copy(spark, d):
 
 QUERIES = {
     "p1_found": lambda spark, d: nested.found(table(spark, d, "raw_records")),
-    "p1_spatial": lambda spark, d: nested.typed(nested.shred(table(spark, d, "raw_records")), "spatial"),
-    "p1_warnings": lambda spark, d: nested.typed(nested.shred(table(spark, d, "raw_records")), "warning"),
+    "p1_spatial": lambda spark, d: nested.one_table(table(spark, d, "raw_records"), "spatial"),
+    "p1_warnings": lambda spark, d: nested.one_table(table(spark, d, "raw_records"), "warning"),
+    "p1_tables": lambda spark, d: nested.links(table(spark, d, "raw_records")),
     "p3_found": lambda spark, d: hierarchy.found(table(spark, d, "dom_elements")),
     "p3_paths": lambda spark, d: hierarchy.paths(table(spark, d, "dom_elements")),
     "p3_cycles": lambda spark, d: hierarchy.cycles(table(spark, d, "dom_elements")),
@@ -58,6 +59,8 @@ _RINGS = _DOM + """, w AS (
 """
 
 SQL = {
+    # an invariant: every table has unique keys, and every child row a parent row
+    "p1_tables": "SELECT tag, true AS keys_unique, CAST(0 AS BIGINT) AS orphans FROM (VALUES " + ", ".join(f"('{t}')" for t in nested.TAGS) + ") AS t(tag)",
     "p3_found": _DOM
     + """
 SELECT e.c AS perception_cycle_id, e.t AS target_id, coalesce(r.root, '') AS root_id,

@@ -41,10 +41,40 @@ def test_broken_empty_null_and_deep(spark):
     assert {r.record_id for r in out} == {8} and len(out) == 400 and {r.perception_cycle_id for r in out} == {"5"}
 
 
+def test_any_depth_in_any_form(spark):
+    deep = '{"perceptionCycleId": "c", "elements": [' + '{"target_id": "e", "children": [' * 20000 + "]}" * 20000 + "]}"
+    wrapped = '{"a": ' * 20000 + json.dumps({"perceptionCycleId": "w"}) + "}" * 20000
+    inside = json.dumps({"data": deep})
+    field = '{"perceptionCycleId": "f", "elements": [{"target_id": "x", "other": ' + "[" * 20000 + "]" * 20000 + "}]}"
+    broken = "[" * 20000
+    out = nested.shred(frame(spark, [deep, wrapped, inside, field, broken, '{"a": [1,]}' + " "])).groupBy("record_id", "tag").count().collect()
+    assert {(r.record_id, r.tag): r["count"] for r in out} == {(0, "packet"): 1, (0, "element"): 20000, (1, "packet"): 1, (2, "packet"): 1, (2, "element"): 20000, (3, "packet"): 1, (3, "element"): 1}
+
+
+def test_pushdown_reads_what_json_reads():
+    good = ['{"a": [1, -2.5e3, "x\\n\\u00e9", true, false, null, {}, []], "b": {"c": {}}}', " [ ] ", "3", '"s"', "[[1], [2, [3]]]", json.dumps(PACKET)]
+    for t in good:
+        assert nested._pushdown(t) == json.loads(t) and json.loads(nested.dumped(json.loads(t))) == json.loads(t)
+    for t in ("", "[1,]", "[1 2]", '{"a"}', '{"a": 1,}', "{1: 2}", "[", "]", "1 2", "NaN", "[01]", '{"a" 1}', "tru", '["a]', "[1}", "1,", '{"a": 1 "b": 2}'):
+        try:
+            nested._pushdown(t)
+        except ValueError:
+            continue
+        raise AssertionError(t)
+
+
+def test_inner_packets_and_single_warnings(spark):
+    packet = {"perceptionCycleId": "c", "metadata": {"warnings": "SLOW"}, "details": {"inner": {"perceptionCycleId": "i", "metadata": {"warnings": {"code": "ONE"}}}}}
+    out = {(r.perception_cycle_id, r.kind, r.link) for r in nested.found(frame(spark, [json.dumps(packet)])).collect()}
+    assert out == {("c", "metadata", ""), ("c", "warning", "SLOW"), ("i", "metadata", ""), ("i", "warning", "ONE")}
+
+
 def test_written_tables_keep_their_links(spark, tmp_path):
     rows = nested.shred(frame(spark, [json.dumps([PACKET, PACKET])]))
     nested.write_tables(rows, str(tmp_path / "t"))
     elements = nested.read_table(spark, str(tmp_path / "t"), "element")
     boxes = nested.read_table(spark, str(tmp_path / "t"), "spatial")
     assert elements.count() == 6 and boxes.select("x", "y", "width", "height").where("element_id = 'b'").distinct().first() == (2, 2, 9, 10)
+    first = elements.where("element_id = 'c'").first()
+    assert json.loads(first.payload) == {"target_id": "c", "hierarchy": {"parent_id": "a", "interactive_ancestor": {"target_id": "b"}}}
     assert boxes.join(elements, boxes.parent_pk == elements.pk).count() == boxes.count()
