@@ -33,11 +33,16 @@ def test_ids_match_the_library_and_decode(spark):
     assert {r.doc_id: r.text for r in tokens.decode(ids).collect()} == {i * 7: t or "" for i, t in enumerate(TEXTS)}
 
 
-def test_hot_and_cold_pieces_give_the_same(spark, monkeypatch):
+def test_hot_and_cold_pieces_give_the_same(spark):
     df = frame(spark, TEXTS)
     want = {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()}
-    monkeypatch.setattr(tokens, "HOT", 0)
-    assert {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()} == want
+    for hot in (0, 20, 10**9):
+        assert {r.doc_id: list(r.ids) for r in tokens.encode(df, hot=hot).collect()} == want
+
+
+def test_odd_ids_decode(spark):
+    df = spark.createDataFrame([("a", [-1, 10**6, 15496]), ("b", None), ("c", [220, 182])], "key string, ids array<int>")
+    assert {r.key: r.text for r in tokens.decode(df, key="key").collect()} == {"a": "Hello", "b": "", "c": " \ufffd"}
 
 
 def test_empty_table(spark):
