@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,24 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, name: str, make: Callable[[], bytes]) -> bytes:
+    """The bytes of a file of the shared folder, made and written if it isn't there yet."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.exists(path):
+        held = files.open(path)
+        try:
+            return bytes(context._jvm.org.apache.commons.io.IOUtils.toByteArray(held))
+        finally:
+            held.close()
+    body = make()
+    out = files.create(path)
+    out.write(body)
+    out.close()
+    return body
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its files make too few tasks for work that is heavy on the CPU.
 
