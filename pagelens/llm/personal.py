@@ -17,21 +17,20 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.session import cut_lineage, shared_folder
+from pagelens.session import kept
 
 ROUNDS = 3
 #: A part of a name is known from this evidence on (labelled / (labelled + 0.5)); a context
 #: of names is confident from this share of instances with a known given name on.
 KNOWN, CONTEXT = 0.6, 0.6
 
-# Words that seed the patterns, by type.
+# Words that seed the patterns, by type.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "senor", "senora", "sr", "sra", "signor", "signora", "sig", "pan", "pani", "господин", "госпожа", "пользователю", "meneer", "mevrouw", "dhr", "mevr", "senhor", "senhora"}
 PHONE_WORDS = {"tel", "phone", "telephone", "telefon", "telefonisch", "telefoon", "mobile", "cell", "call", "sms", "appelez", "llame"}
 ID_WORDS = {"ssn", "passport", "dni", "nie", "ausweis", "ausweisnummer", "personalausweis", "pesel", "identiteitsnummer", "cidadao", "identidad", "dowodu", "удостоверения", "identita", "sociale", "security", "identite"}
@@ -47,14 +46,14 @@ _CAP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĘĚŁŃŇŐŘŚŠŤŮŰŸŹŻŽА-ЯЁ"
 # Patterns start with a plain class of signs and look behind it, which is what re finds fast.
 _AT = re.compile(r"[@＠%&\[({](?:(?<=[@＠])|(?<=%)40|(?<=&)(?:#64|#x40|commat);|(?<=[\[({])\s?[aA][tT]\s?[\])}])")
 _DOT = r"(?:\.|\s{0,2}[\[({]\s?[dD][oO][tT]\s?[\])}]\s{0,2})"
-_LOCAL = re.compile(r"[\w.+\u0300-\u036f-]*[\w+\u0300-\u036f-]$")
+_LOCAL = re.compile(r"[\w.+\u0300-\u036f-]")
 _DOMAIN = re.compile(rf"[^\W_][\w\u0300-\u036f-]*(?:{_DOT}[\w\u0300-\u036f-]+)*{_DOT}[A-Za-z][A-Za-z-]+(?!\w)")
 _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|html?|json|zip|pdf|mp4)$", re.I)
 # Street forms, searched in lower case; the group is the name's first word.
 _PART = r"[^\W\d_](?:[^\W\d_]|['’\u0300-\u036f-])*"
 _ADDRESSES = [
-    re.compile(rf"(?<![\w./-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|impasse|allée|allee|chemin|quai|route)\s+(?:(?:de\s+la|des|du|de)\s+|d['’]|l['’])?({_PART})"),
-    re.compile(rf"(?<![\w./-])\d{{1,4}}[a-z]?\s+({_PART})\s+(?:{_PART}\s+)?(?:street|st\.|st\b|avenue|ave|road|rd|lane|drive|court|boulevard|blvd|crescent|square|terrace|way)(?:(?<=\.)|(?!\w))"),
+    re.compile(rf"(?<![\w./-])\d{{1,5}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|impasse|allée|allee|chemin|quai|route)\s+(?:(?:de\s+la|des|du|de)\s+|d['’]|l['’])?({_PART})"),
+    re.compile(rf"(?<![\w./-])\d{{1,5}}[a-z]?\s+({_PART})\s+((?:{_PART}\s+){{0,3}}?)(?:street|st\.|st\b|avenue|ave|road|rd|lane|drive|court|boulevard|blvd|crescent|square|terrace|way)(?:(?<=\.)|(?!\w))"),
     re.compile(rf"(?<!\w)(?=[aceloprtuv])(?:(?:c/|avda\.|ul\.|al\.|pl\.|os\.)\s*|(?:calle|plaza|avda|avenida|paseo|camino|rua|travessa|praça|praca|largo|estrada|viale|via|piazza|corso|vicolo|ulica|aleja|plac)\s+)(?:d[aeo]s?\s+|del(?:la)?\s+|de\s+la\s+)?({_PART})(?:\s+{_PART})?,?\s+(?:n\.?\s?[º°]\s?)?\d{{1,4}}[a-z]?(?![\w-])"),
     re.compile(rf"(?<!\w)(?:(?:ул\.|пр\.|пер\.|пл\.|наб\.|пр-т|б-р)\s*|(?:улица|проспект|переулок|площадь|набережная|бульвар|шоссе)\s+)({_PART})(?:\s+{_PART})?,?\s+(?:д\.|дом)?\s*\d{{1,4}}[а-яa-z]?(?![\w-])"),
 ]
@@ -101,6 +100,13 @@ def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
     return before[-4:], " ".join(after) or "$"
 
 
+def _further(m: re.Match) -> list[int]:
+    """Where the third and later words of a long street name start, which are in capitals too."""
+    if m.re.groups < 2 or not m[2]:
+        return []
+    return [m.start(2) + w.start() for w in re.finditer(r"\S+", m[2])][1:]
+
+
 def candidates(text: str) -> Iterator[tuple]:
     """(start, end, kind, form, a, b, left, right, seed) of each candidate in a text.
 
@@ -118,25 +124,37 @@ def candidates(text: str) -> Iterator[tuple]:
             before -= 1
         while bracket and after - m.end() < 2 and t[after : after + 1].isspace():
             after += 1
-        local = _LOCAL.search(t, max(0, before - 80), before)
         domain = _DOMAIN.match(t, after)
-        if local and domain and not _FILE.search(domain[0]):
-            taken.append((local.start(), domain.end()))
-            yield (local.start(), domain.end(), "EMAIL", "plain", "", "", "", "", "EMAIL")
+        if not domain or _FILE.search(domain[0]):
+            continue
+        start = end = before - (t[before - 1 : before] == "\n")
+        while start and _LOCAL.match(t[start - 1]):
+            start -= 1
+        if start < end and t[end - 1] != ".":
+            taken.append((start, domain.end()))
+            yield (start, domain.end(), "EMAIL", "plain", "", "", "", "", "EMAIL")
     low = t.lower()
     if len(low) != len(t):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in t)
-    streets = [(m.start(), m.end(), m.start(1)) for pattern, hints in zip(_ADDRESSES, _HINTS, strict=True) if any(h in low for h in hints) for m in pattern.finditer(low)]
+    streets = [(m.start(), m.end(), m.start(1), *_further(m)) for pattern, hints in zip(_ADDRESSES, _HINTS, strict=True) if any(h in low for h in hints) for m in pattern.finditer(low)]
     for m in _STREET_END.finditer(low):
         if head := _STREET_HEAD.search(low, max(0, m.start() - 40), m.start()):
             streets.append((head.start(), m.end(), head.start()))
-    for start, end, name in streets:
-        if t[name].isupper() and not any(a < end and start < b for a, b in taken):
+    mask = bytearray(len(t))  # the signs that belong to a finding
+    for start, end in taken:
+        mask[start:end] = b"\x01" * (end - start)
+    for start, end, *names in streets:
+        if all(t[n].isupper() for n in names) and mask.find(1, start, end) < 0:
+            mask[start:end] = b"\x01" * (end - start)
             taken.append((start, end))
             yield (start, end, "ADDRESS", "plain", "", "", "", "", "ADDRESS")
-    for a, b in taken:
-        t = t[:a] + "\x01" * (b - a) + t[b:]
-    spans: list[tuple[int, int]] = []
+    if taken:
+        pieces, upto = [], 0
+        for a, b in sorted(taken):
+            pieces += [t[upto:a], "\x01" * (b - max(a, upto))]
+            upto = max(b, upto)
+        t = "".join([*pieces, t[upto:]])
+    mask = bytearray(len(t))  # the signs of numbers so far
     for pattern in (_NUMBER, _NUMBER_AFTER, _ALNUM):
         for m in pattern.finditer(t):
             start, end = m.span()
@@ -147,9 +165,9 @@ def candidates(text: str) -> Iterator[tuple]:
             digits = sum(c.isdigit() for c in value)
             if pattern is _ALNUM and (digits < 2 or digits == len(value) or not re.search(r"\d\d", value)):
                 continue
-            if pattern is not _ALNUM and not 7 <= digits <= 15 or end < len(t) and (t[end].isalnum() or t[end] == "_") or any(a < end and start < b for a, b in spans):
+            if pattern is not _ALNUM and not 7 <= digits <= 15 or end < len(t) and (t[end].isalnum() or t[end] == "_") or mask.find(1, start, end) >= 0:
                 continue
-            spans.append((start, end))
+            mask[start:end] = b"\x01" * (end - start)
             shape = re.sub(r"\s+", " ", re.sub("[A-Za-z]", "A", re.sub(r"\d", "9", value)))
             before, right = _around(t, start, end)
             words = set(before[-3:])
@@ -223,14 +241,6 @@ def units_of(documents: DataFrame | None = None, elements: DataFrame | None = No
     return out
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` written once as compressed files into the shared folder, and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 ROLES = ("a", "b", "l", "r")
 TYPES = ("NAME", "PHONE", "ID_NUMBER", "NONE")
 
@@ -247,14 +257,15 @@ def _things(sig: DataFrame) -> DataFrame:
     families = names.groupBy("kind", "b").agg(titled("b"))
     pairs = names.groupBy("kind", "a", "b").agg(F.count("*").alias("p_ways"))
     keeps = (F.col("a") != "initial") & (F.col("p_ways") >= 5) & (F.col("p_ways") > 0.2 * F.col("g_ways")) & ~(F.col("a_titled") & F.col("b_titled"))
-    both = sig.join(givens, ["kind", "a"], "left").join(families, ["kind", "b"], "left").join(pairs, ["kind", "a", "b"], "left")
+    sig = sig.withColumn("_a", F.when(F.col("a") == "initial", F.concat(F.lit("\0"), F.pmod(F.xxhash64("b"), F.lit(1000)))).otherwise(F.col("a")))  # "initial" matches none and would be hot
+    both = sig.join(givens.withColumnRenamed("a", "_a"), ["kind", "_a"], "left").join(families, ["kind", "b"], "left").join(pairs, ["kind", "a", "b"], "left")
     return both.select("kind", "form", *ROLES, "n", "seed", F.coalesce(keeps, F.lit(False)).alias("thing"))
 
 
 def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, a, b, l, r, label) of each signature after the rounds of scoring."""
     sig = found.where(F.col("kind").isin("NUM", "NAME")).groupBy("kind", "form", *ROLES).agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    sig = cut_lineage(_things(cut_lineage(sig)).withColumn("label", F.col("seed")))
+    sig = kept(_things(kept(sig)).withColumn("label", F.col("seed")))
     sums = [F.sum(F.when(F.col("label") == t, F.col("n")).otherwise(0)).alias(t) for t in TYPES]
     for _ in range(rounds):
         # given names first: a context is judged by the share of its instances that start with a known one
@@ -262,7 +273,7 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         givens = sig.where("kind = 'NAME'").groupBy(F.lit("NAME").alias("kind"), "a").agg(is_named.alias("g_name"))
         base = sig.join(givens, ["kind", "a"], "left")
         base = base.withColumn("given", F.coalesce((F.col("a") != "initial") & (F.col("g_name") / (F.col("g_name") + 0.5) >= KNOWN), F.lit(False))).withColumn("known", F.col("given") & ~F.col("thing"))
-        base = cut_lineage(base)
+        base = kept(base)
         each = base.select("kind", "n", "label", "known", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("kind", "n", "label", "known", "p.*")
         graph = each.groupBy("kind", "role", "pattern").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("known") | (F.col("label") == "NAME"), F.col("n")).otherwise(0)).alias("near"), *sums)
         # a name's part counts by its labelled instances, its context by their share; a number's pattern by the share of each type among labelled ones
@@ -273,9 +284,10 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         name = F.when(F.col("role") == "b", F.col("NAME") / (F.col("NAME") + 0.5)).otherwise(F.col("near") / (F.col("total") + 2))
         graph = graph.select("kind", "role", "pattern", F.when(F.col("kind") == "NAME", name).otherwise(0.0).alias("NAME"), *[(F.col(t) / told).alias(t) for t in TYPES[1:]])
         edge = (F.col("kind") == "NUM") & F.col("pattern").isin("^", "$")  # the end of a text says nothing of a number
-        graph = cut_lineage(graph.where("NAME + PHONE + ID_NUMBER + NONE > 0").where(~edge))
+        edge = edge | (F.col("kind") == "NAME") & (F.col("role") == "a")  # given names were judged above
+        graph = kept(graph.where("NAME + PHONE + ID_NUMBER + NONE > 0").where(~edge))
         far = base.withColumn("_i", F.xxhash64("kind", "form", *ROLES))
-        each = far.select("_i", "kind", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("_i", "kind", "p.*")
+        each = far.select("_i", "kind", F.explode(F.array(*[F.struct(F.lit(x).alias("role"), F.col(x).alias("pattern")) for x in ROLES])).alias("p")).select("_i", "kind", "p.*").where(~edge)
         told = each.join(graph, ["kind", "role", "pattern"]).groupBy("_i").agg(*[F.max(F.when(F.col("role") == x, F.col(t))).alias(f"{x}_{t}") for x in ROLES for t in TYPES])
         step = far.join(told, "_i", "left")
         s = lambda role, t: F.coalesce(F.col(f"{role}_{t}"), F.lit(0.0))
@@ -289,10 +301,44 @@ def scored(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         best = F.greatest(*votes.values())
         number = F.when(best < 0.5, "").when(votes["NONE"] == best, "NONE").when(votes["ID_NUMBER"] == best, "ID_NUMBER").otherwise("PHONE")
         new = F.when(F.col("seed") != "", F.col("seed")).when(F.col("kind") == "NAME", F.when(is_name, "NAME").otherwise("")).otherwise(number)
-        sig = cut_lineage(step.select("kind", "form", *ROLES, "n", "seed", "thing", new.alias("label")))
+        sig = kept(step.select("kind", "form", *ROLES, "n", "seed", "thing", new.alias("label")))
     return sig.select("kind", "form", *ROLES, "label")
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each name of a text that no better one overlaps: direct before reversed, longer, earlier."""
+    for batch in batches:
+        rows = []
+        for *key, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ranks = [("," in x["value"], x["start"] - x["stop"], x["start"]) for x in names]
+            longest = max(x["stop"] - x["start"] for x in names)
+            worse = set()
+            for i, x in enumerate(names):  # by start, so those that overlap stand near
+                j = i - 1
+                while j >= 0 and names[j]["start"] > x["start"] - longest:
+                    if names[j]["stop"] > x["start"]:
+                        worse.add(i if ranks[j] < ranks[i] else j)
+                    j -= 1
+            rows += [(*key, x["start"], x["stop"], x["value"], x["label"]) for i, x in enumerate(names) if i not in worse]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["table_name", "row_id", "field", "part", "start", "stop", "value", "label"])
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their findings replaced, each text built once from its pieces."""
+    for batch in batches:
+        out = []
+        for text, found in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            pieces, at = [], 0
+            for x in sorted(found or (), key=lambda x: (x["start"], x["stop"])):
+                if x["start"] >= at:
+                    pieces += [text[at : x["start"]], f"[{x['pii_type']}]"]
+                    at = x["stop"]
+            out.append("".join([*pieces, text[at:]]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.string())], ["table_name", "row_id", "field", "part", "text"])
+
+
 def spans(units: DataFrame) -> DataFrame:
     """(table_name, row_id, field, part, start, stop, value, pii_type) of every finding.
 
@@ -302,9 +348,9 @@ def spans(units: DataFrame) -> DataFrame:
     labels = scored(found).where(~F.col("label").isin("", "NONE"))
     sure = found.where(F.col("kind").isin("EMAIL", "ADDRESS")).withColumn("label", F.col("kind"))
     told = found.where(F.col("kind").isin("NUM", "NAME")).join(labels, ["kind", "form", *ROLES])
-    named = told.where("kind = 'NAME'").groupBy("table_name", "row_id", "field", "part").agg(F.collect_list(F.struct("start", "stop", "value", "form", "label")).alias("s"))
-    clean = F.expr("filter(s, x -> not exists(s, y -> y.start < x.stop and x.start < y.stop and ((y.value not like '%,%' and x.value like '%,%') or ((y.value like '%,%') = (x.value like '%,%') and (y.stop - y.start > x.stop - x.start or (y.stop - y.start = x.stop - x.start and y.start < x.start))))))")
-    names = named.select("table_name", "row_id", "field", "part", F.explode(clean).alias("x")).select("table_name", "row_id", "field", "part", "x.start", "x.stop", "x.value", "x.label")
+    by = ["table_name", "row_id", "field", "part"]
+    named = told.where("kind = 'NAME'").groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("start", "stop", "value", "label"))).alias("s"))
+    names = named.mapInArrow(_apart, "table_name string, row_id long, field string, part int, start int, stop int, value string, label string")
     columns = ["table_name", "row_id", "field", "part", "start", "stop", "value", "label"]
     return sure.select(*columns).unionAll(told.where("kind = 'NUM'").select(*columns)).unionAll(names.select(*columns)).withColumnRenamed("label", "pii_type")
 
@@ -318,8 +364,5 @@ def redacted(units: DataFrame) -> DataFrame:
     """(table_name, row_id, field, part, text): findings replaced by [TYPE], all else as it was."""
     by = ["table_name", "row_id", "field", "part"]
     lists = spans(units).groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("start", "stop", "pii_type"))).alias("s"))
-    joined = units.join(lists, by, "left")
-    built = F.expr("""aggregate(s, named_struct('out', '', 'at', 0), (acc, x) ->
-        if(x.start < acc.at, acc, named_struct('out', concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '[', x.pii_type, ']'), 'at', x.stop)),
-        acc -> concat(acc.out, substring(text, acc.at + 1)))""")
-    return joined.select(*by, F.when(F.col("s").isNull(), F.col("text")).otherwise(built).alias("text"))
+    joined = units.select(*by, "text").join(lists, by, "left")
+    return joined.mapInArrow(_rewritten, UNIT)

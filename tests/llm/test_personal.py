@@ -62,3 +62,23 @@ def test_values_are_given_once_with_single_blanks(spark):
 def test_no_texts(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert P.found(P.units_of(df)).count() == 0
+
+
+def test_long_forms():
+    local = "a" * 150 + ".b"
+    assert ("EMAIL", f"{local}@x.test") in kinds(f"To {local}@x.test now")
+    for v in ("12345 Main Street", "123 Martin Luther King Boulevard", "90210 Old Mill Creek Road"):
+        assert ("ADDRESS", v) in kinds(f"It went to {v}, as shown."), v
+    assert not any(k == "ADDRESS" for k, _ in kinds("we saw 123 Items in the next street"))
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    one = "Mr. Karl Wexathy of 12 Ferrer Lane wrote to ana@x.test, tel. 020 7946 0115, on order no. 586-16-9313.\n"
+    took = []
+    for n in (4_000, 20_000):  # 0.4 and 2 MB
+        began = time.process_time()
+        assert sum(k == "EMAIL" for _, _, k, *_ in P.candidates(one * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
