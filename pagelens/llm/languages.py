@@ -14,6 +14,7 @@ so a word costs one look-up; documents are read where they lie, without a shuffl
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -25,12 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.session import stored
+
 BUCKETS, DIM = 1 << 16, 12
 #: Labelled documents of each language to learn from; fewer leave a rare language to noise.
 SAMPLE_DOCS = 600
+#: Longer documents are not learned from (all are read).
+SAMPLE_CHARS = 20_000
 EPOCHS, BATCH, RATE = 4, 128, 0.4
 #: A small sample is gone through more often, for this many steps.
 LEAST_STEPS = 150
+#: Share of held-out labels that may be wrong where the temperature is fitted.
+NOISE = 0.02
 #: Confidence from which a sentence counts, and from which it does in a text with no surer one.
 ACCEPT, ACCEPT_ALONE = 0.99, 0.6
 #: Words that a sentence beside others needs to count.
@@ -38,7 +45,7 @@ LEAST_BESIDE = 6
 #: Words in small letters that a sentence needs, or words if all are in capitals.
 MIN_WORDS, MIN_CAPITALS = 3, 5
 
-# Languages by two-letter code with the other spellings of their labels.
+# Languages by two-letter code with the other spellings of their labels.
 SPELLINGS = {
     "en": "en eng english anglais englisch",
     "de": "de deu ger german deutsch",
@@ -115,7 +122,7 @@ def subwords(word: str, sizes: tuple[int, ...] = (2, 3, 4, 5)) -> list[int]:
     """The hashed rows of a word: itself and its 2- to 5-grams with edges."""
     import xxhash
 
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     grams = [w] * (len(sizes) > 3) + [w[i : i + n] for n in sizes for i in range(len(w) - n + 1)]
     return [xxhash.xxh32_intdigest(g) % BUCKETS for g in grams]
 
@@ -129,6 +136,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sums) of the rows of values by their place."""
+    order = np.argsort(at, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+    return at[order][cuts], np.add.reduceat(values[order], cuts, axis=0)
+
+
 class Fit:
     """Sentences as word numbers, words as subword rows; trained by SGD."""
 
@@ -160,10 +180,10 @@ class Fit:
             order = rng.permutation(chosen)
             for lo in range(0, len(order), BATCH):
                 part = order[lo : lo + BATCH]
-                words = np.concatenate([self.flat[self.starts[i] : self.starts[i + 1]] for i in part])
+                words = self.flat[_spans(self.starts[part], self.starts[part + 1] - self.starts[part])]
                 owner = np.repeat(np.arange(len(part)), self.starts[part + 1] - self.starts[part])
                 unique, inverse = np.unique(words, return_inverse=True)
-                rows = np.concatenate([self.sub[self.sub_at[u] : self.sub_at[u] + self.sub_n[u]] for u in unique])
+                rows = self.sub[_spans(self.sub_at[unique], self.sub_n[unique])]
                 cuts = np.cumsum(np.r_[0, self.sub_n[unique]])[:-1]
                 vectors = np.add.reduceat(emb[rows], cuts, axis=0)
                 count = np.bincount(owner, self.sub_n[words], len(part))[:, None]
@@ -173,15 +193,13 @@ class Fit:
                 error[np.arange(len(part)), self.labels[part]] -= 1
                 error *= weight[self.labels[part]][:, None]
                 back = (error @ out.T / count)[owner]
-                grad = np.zeros_like(vectors)
-                np.add.at(grad, inverse, back)
+                _, grad = _summed(inverse, back)
                 step = mean.T @ error
                 seen_out += step**2
                 out -= rate * step / np.sqrt(seen_out)
-                full = np.zeros_like(emb)
-                np.add.at(full, rows, np.repeat(grad, self.sub_n[unique], axis=0))
-                seen_emb += (full**2).mean(axis=1)
-                emb -= rate * full / np.sqrt(seen_emb + 1e-12)[:, None]
+                touched, full = _summed(rows, np.repeat(grad, self.sub_n[unique], axis=0))
+                seen_emb[touched] += (full**2).mean(axis=1)
+                emb[touched] -= rate * full / np.sqrt(seen_emb[touched] + 1e-12)[:, None]
         table = np.zeros((BUCKETS, len(LANGS)))
         table[self.rows] = emb @ out
         return table
@@ -197,7 +215,7 @@ def fit(docs: list[tuple[str, str]]) -> tuple[np.ndarray, float]:
     votes: dict[tuple[str, ...], dict[str, int]] = {}
     for text, lang in docs:
         for words in sentences(text):
-            one = votes.setdefault(tuple(words[:200]), {})
+            one = votes.setdefault(tuple(words), {})
             one[lang] = one.get(lang, 0) + 1
     texts, labels, fold = [], [], []
     for words, count in votes.items():  # a repeated sentence has the label most of its copies have
@@ -224,50 +242,80 @@ def fit(docs: list[tuple[str, str]]) -> tuple[np.ndarray, float]:
     temperature = 1.0
     if len(truth):
         scales = np.geomspace(0.25, 4, 33)
-        loss = [-np.log(_softmax(logits * s)[np.arange(len(truth)), truth] + 1e-12).mean() for s in scales]
+        # some labels are wrong still: the sentences that fit theirs least don't count
+        own = _softmax(logits)[np.arange(len(truth)), truth]
+        sure = np.argsort(own, kind="stable")[int(np.ceil(NOISE * len(own))) % len(own) :]
+        loss = [-np.log(_softmax(logits[sure] * s)[np.arange(len(sure)), truth[sure]] + 1e-12).mean() for s in scales]
         temperature = float(scales[int(np.argmin(loss))])
     return table, temperature
 
 
 def learn(df: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, float]:
-    """Fit on about SAMPLE_DOCS labelled documents of each language, chosen by a hash of their key."""
-    labelled = df.select(F.col(key).alias("k"), F.substring(text, 1, 20_000).alias("t"), label_of(F.col(label)).alias("c")).where("c is not null and length(t) > 0")
+    """Fit on about SAMPLE_DOCS labelled documents of each language, chosen by a hash of their key.
+
+    The fit is kept in the shared folder by the sample's fingerprint and used again.
+    """
+    labelled = df.select(F.col(key).alias("k"), F.col(text).alias("t"), label_of(F.col(label)).alias("c")).where(F.length("t").between(1, SAMPLE_CHARS) & F.col("c").isNotNull())
     counts = {r.c: r.n for r in labelled.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return fit([])
     share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, SAMPLE_DOCS / n)))])
     chosen = labelled.where(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < F.try_element_at(share, F.col("c")) * 1_000_003)
     rows = sorted((r.k, r.t, r.c) for r in chosen.limit(2 * SAMPLE_DOCS * len(LANGS)).collect())  # a bounded sample
-    return fit([(t, c) for _, t, c in rows])
+
+    def made() -> bytes:
+        table, scale = fit([(t, c) for _, t, c in rows])
+        return np.append(table.astype("<f4").ravel(), np.float32(scale)).tobytes()
+
+    mark = hashlib.sha256(repr((BUCKETS, DIM, EPOCHS, BATCH, RATE, LANGS, rows)).encode()).hexdigest()[:32]
+    body = np.frombuffer(stored(df.sparkSession, f"languages-{mark}", made), "<f4")
+    return body[:-1].reshape(BUCKETS, len(LANGS)), float(body[-1])
 
 
 class Reader:
-    """The fitted table at work: a word's row is looked up once in a task."""
+    """The fitted table at work: a word's row is looked up once in a task, texts are read many at a time."""
 
     def __init__(self, table: np.ndarray, temperature: float) -> None:
-        self.table, self.scale = table, temperature
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        v = self.known.get(w)
-        if v is None:
-            s = subwords(w)
-            v = np.append(self.table[s].sum(axis=0), len(s))
-            if len(self.known) < 500_000:
-                self.known[w] = v
-        return v
-
-    def segments(self, text: str | None) -> list[tuple[str, float, int]]:
-        """(language, confidence, sentences) of each maximal stretch of accepted sentences."""
-        each = []
-        for words in sentences(text) if text else []:
-            total = np.sum([self.word(w) for w in words], axis=0)
-            p = _softmax((total[:-1] / total[-1] * self.scale)[None])[0]
-            each.append((LANGS[int(p.argmax())], float(p.max()), float(p.max()) >= ACCEPT and len(words) >= LEAST_BESIDE))
-        surer = any(sure for *_, sure in each)
+        self.table, self.scale = table.astype(np.float32), temperature
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.vectors = np.zeros((1024, len(LANGS) + 1), np.float32)  # sums of rows, and how many they are
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            subs = [subwords(w) for w in new]
+            n = np.array([len(s) for s in subs])
+            sums = np.add.reduceat(self.table[np.concatenate([np.array(s) for s in subs])], np.cumsum(n) - n, axis=0)
+            first = len(self.known)
+            while first + len(new) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+            self.vectors[first : first + len(new)] = np.column_stack([sums, n])
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.array([self.known[w] for w in words])
+
+    def read(self, texts: list[str | None]) -> list[list[tuple[str, float, int]]]:
+        """(language, confidence, sentences) of each maximal stretch of accepted sentences of each text."""
+        if len(self.known) > 500_000:
+            self._forget()
+        parts = [sentences(t) if t else [] for t in texts]
+        flat = [s for p in parts for s in p]
+        if not flat:
+            return [[] for _ in texts]
+        size = np.array([len(s) for s in flat])
+        numbers = self._numbers([w for s in flat for w in s])
+        total = np.add.reduceat(self.vectors[numbers], np.cumsum(size) - size, axis=0)
+        p = _softmax(total[:, :-1] / total[:, -1:] * self.scale)
+        each = iter(zip([LANGS[i] for i in p.argmax(axis=1)], p.max(axis=1).tolist(), size.tolist(), strict=True))
+        return [self._joined([next(each) for _ in s]) for s in parts]
+
+    def _joined(self, each: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+        surer = any(c >= ACCEPT and n >= LEAST_BESIDE for _, c, n in each)
         out: list[list] = []
-        for lang, c, sure in each:
-            if not sure and (surer or c < ACCEPT_ALONE):
+        for lang, c, n in each:
+            if not (c >= ACCEPT and n >= LEAST_BESIDE) and (surer or c < ACCEPT_ALONE):
                 continue
             if out and out[-1][0] == lang:
                 out[-1][1] += c
@@ -276,6 +324,9 @@ class Reader:
                 out.append([lang, c, 1])
         return [(lang, c / n, n) for lang, c, n in out]
 
+    def segments(self, text: str | None) -> list[tuple[str, float, int]]:
+        return self.read([text])[0]
+
 
 SEGMENT = "seg_no long, seg_lang string, confidence double, n_sentences long"
 
@@ -296,8 +347,10 @@ def segments(df: DataFrame, key: str = "doc_id", text: str = "text", label: str
         for batch in batches:
             reader = reader or Reader(*shipped.value)
             rows: list[tuple] = []
-            for k, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                rows += [(k, c, i, *s) for i, s in enumerate(reader.segments(t), 1)]
+            ids, texts, labels = (x.to_pylist() for x in batch.columns)
+            for lo in range(0, len(ids), 200):
+                for k, c, found in zip(ids[lo : lo + 200], labels[lo : lo + 200], reader.read(texts[lo : lo + 200]), strict=True):
+                    rows += [(k, c, i, *s) for i, s in enumerate(found, 1)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 

@@ -46,6 +46,26 @@ def test_held_out_accuracy(spark, data):
     assert sum(c == s[0][0] for c, s in seen) >= 0.7 * len(seen)  # a tenth of the labels is wrong, and the table is tiny
 
 
+def test_a_fit_is_kept_and_used_again(spark, monkeypatch):
+    docs = [(i, ". ".join(s) + ".", lang) for i, (lang, s) in enumerate(list(SAID.items()) * 3)] + [(99, "x" * (L.SAMPLE_CHARS + 1), "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    table, scale = L.learn(df, "doc_id", "text", "lang")
+    monkeypatch.setattr(L, "fit", None)  # a second fit would fail
+    again, same = L.learn(df, "doc_id", "text", "lang")
+    assert (table == again).all() and scale == same
+
+
+def test_one_wrong_label_leaves_the_temperature():
+    docs = [(". ".join(s[i:] + s[:i]) + ".", lang) for lang, s in SAID.items() for i in range(4)] * 6
+    want = L.fit(docs)[1]
+    assert L.fit([*docs, ("The panel opened before the agent had read the text.", "de")])[1] == want
+
+
+def test_long_words_and_empty_texts():
+    reader = L.Reader(*model())
+    assert reader.read([None, "", SAID["en"][0] + " " + "q" * 5000 + "."])[:2] == [[], []]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert L.found(df).count() == 0
