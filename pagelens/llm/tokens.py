@@ -100,12 +100,18 @@ def _filled(whole: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, rare in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rare.sort(key=lambda x: x["pos"])
-                at = np.repeat([x["at"] for x in rare], [len(x["ids"]) for x in rare])
-                out.append(np.insert(np.array(ids, np.int32), at, np.concatenate([x["ids"] for x in rare])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["k", "ids"])
+            known, rare = batch.column(1), batch.column(2).flatten()
+            size = known.value_lengths().to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((rare.field("pos").to_numpy(), owner))
+            lists = rare.field("ids").take(pa.array(order))
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            at = np.repeat((first[owner] + rare.field("at").to_numpy())[order], length)
+            ids = np.insert(known.flatten().to_numpy(zero_copy_only=False).astype(np.int32), at, lists.flatten().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(size + np.bincount(owner[order], length, len(batch)).astype(np.int64))
+            whole_ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole_ids], ["k", "ids"])
 
     return whole.select("k", "ids", "r").mapInArrow(run, T.StructType([whole.schema["k"], whole.schema["ids"]]))
 
