@@ -28,6 +28,11 @@ def clamp(x: Column, low, high) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def cell_of(x: Column, size: int, most: int = 64) -> Column:
+    """The grid cell of a coordinate; all beyond `most` cells share the last one, so no box covers many."""
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(x / size)))
+
+
 def squeeze(x: Column, most: int | None = None) -> Column:
     """Trimmed, runs of white space made one space, cut to `most` characters."""
     out = F.trim(F.regexp_replace(x, r"\s+", " "))

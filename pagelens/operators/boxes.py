@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.columns import fixed, iou, js_round
+from pagelens.functions.columns import cell_of, fixed, iou, js_round
 
 CANONICAL = "m1-screenshot-pixels"
 #: Share of the image from which a box is refused, and pixels a clamp may move.
@@ -75,9 +75,9 @@ def containing(points: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFram
 
     A box is listed in every grid cell it covers, a point in one; edges count as inside.
     """
-    probe = points.withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
+    probe = points.withColumn("_cx", cell_of(F.col("px"), cell)).withColumn("_cy", cell_of(F.col("py"), cell))
     held = boxes.where("w > 0 and h > 0").select("page", F.col("id").alias("_bid"), F.col("ord").alias("_bord"), "x", "y", "w", "h")
-    held = held.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor((F.col("x") + F.col("w")) / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y") / cell), F.floor((F.col("y") + F.col("h")) / cell))))
+    held = held.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("x"), cell), cell_of(F.col("x") + F.col("w"), cell)))).withColumn("_cy", F.explode(F.sequence(cell_of(F.col("y"), cell), cell_of(F.col("y") + F.col("h"), cell))))
     hit = probe.join(held, ["page", "_cx", "_cy"]).where(F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h")))
     first = hit.groupBy("page", "id").agg(F.min_by("_bid", "_bord").alias("inside"))
     return points.join(first, ["page", "id"], "left")
@@ -90,9 +90,9 @@ def overlaps(boxes: DataFrame, least: float, cell: int = 256) -> DataFrame:
     its common corner only, so nothing has to be made distinct.
     """
     held = boxes.where("w > 0 and h > 0").select("page", "id", "x", "y", "w", "h")
-    held = held.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor((F.col("x") + F.col("w")) / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y") / cell), F.floor((F.col("y") + F.col("h")) / cell))))
+    held = held.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("x"), cell), cell_of(F.col("x") + F.col("w"), cell)))).withColumn("_cy", F.explode(F.sequence(cell_of(F.col("y"), cell), cell_of(F.col("y") + F.col("h"), cell))))
     a, b = held.alias("a"), held.alias("b")
-    corner = (F.floor(F.greatest("a.x", "b.x") / cell) == F.col("a._cx")) & (F.floor(F.greatest("a.y", "b.y") / cell) == F.col("a._cy"))
+    corner = (cell_of(F.greatest("a.x", "b.x"), cell) == F.col("a._cx")) & (cell_of(F.greatest("a.y", "b.y"), cell) == F.col("a._cy"))
     value = iou(*[F.col(f"{s}.{c}") for s in "ab" for c in "xywh"])
     pairs = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & (F.col("a.id") < F.col("b.id"))).where(corner)
     return pairs.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), value.alias("iou")).where(F.col("iou") > least)

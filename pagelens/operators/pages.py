@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelens.functions.columns import fixed, rolling_hash, squeeze
+from pagelens.functions.columns import cell_of, fixed, rolling_hash, squeeze
 
 # The role a tag has by itself, and an input by its type.
 TAG_ROLES = {
@@ -62,11 +62,11 @@ def occlusion(elements: DataFrame, width: int, height: int) -> DataFrame:
     # each box is listed in the cells it covers, each point in its own: an equi-join on cells
     cell = 256
     cover = e.where("w > 0 and h > 0").select("page", F.col("ord").alias("o"), "x", "y", "w", "h")
-    cover = cover.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor((F.col("x") + F.col("w")) / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / cell), F.floor((F.col("y") + F.col("h")) / cell))))
+    cover = cover.withColumn("cx", F.explode(F.sequence(cell_of(F.col("x"), cell), cell_of(F.col("x") + F.col("w"), cell)))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("y"), cell), cell_of(F.col("y") + F.col("h"), cell))))
     seen = e.where(F.col("vis").isin("VISIBLE", "PARTIALLY_VISIBLE"))
     spots = F.array(*[F.struct(F.lit(i).alias("spot"), (F.col("x") + F.col("w") * f).alias("px"), (F.col("y") + F.col("h") * f).alias("py")) for i, f in enumerate((0.5, 0.25, 0.75))])
     points = seen.select("page", "ord", F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("w").alias("ew"), F.col("h").alias("eh"), F.explode(spots).alias("s")).select("*", "s.*").drop("s")
-    points = points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
+    points = points.withColumn("cx", cell_of(F.col("px"), cell)).withColumn("cy", cell_of(F.col("py"), cell))
     inside = (F.col("x") >= F.col("ex")) & (F.col("y") >= F.col("ey")) & (F.col("x") + F.col("w") <= F.col("ex") + F.col("ew")) & (F.col("y") + F.col("h") <= F.col("ey") + F.col("eh"))
     above = (F.col("o") > F.col("ord")) & F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h")) & ~inside
     hit = points.join(cover, ["page", "cx", "cy"]).where(above).groupBy("page", "ord").agg(F.collect_set("spot").alias("hit"))

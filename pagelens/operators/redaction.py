@@ -145,6 +145,21 @@ def redacted(text: Column, found: Column) -> Column:
     return F.aggregate(found, text, lambda acc, d: F.replace(acc, d["value"], placeholder(d["type"])))
 
 
+def image_leaks(raw: Column, clean: Column, certified: Column, n_sensitive: Column) -> Column:
+    """array<string> of what is wrong with the image of a payload; null where nothing is, and for no image.
+
+    raw: the capture as taken; clean: the image to be sent; certified: whether it is marked
+    as cleaned (null where the image is a plain text, which can't be marked).
+    """
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    return F.array_compact(
+        F.array(
+            F.when(some(clean) & some(raw) & (n_sensitive > 0) & (raw == clean), F.lit("image_unredacted")),
+            F.when(some(clean) & (certified == F.lit(False)), F.lit("image_uncertified")),
+        )
+    )
+
+
 def gate(corpus: Column, payload: Column, values: Column) -> Column:
     """array<string> of leaks: empty means the payload may leave.
 
