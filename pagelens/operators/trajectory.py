@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions.columns import clamp, js_round
+from pagelens.operators.hierarchy import hierarchy
 
 #: The actions an agent may take.
 ACTIONS = ("click", "type", "press", "scroll", "wait", "done")
@@ -59,21 +60,53 @@ def failures(steps: DataFrame) -> DataFrame:
 
 
 def first_seen(steps: DataFrame) -> DataFrame:
-    """(task, state, first_seq, last_seq, visits, parent): parent is the state before the first visit."""
+    """(task, state, first_seq, last_seq, visits, parent, url, depth) of steps (task, seq, state, url).
+
+    parent is the state before the first visit, url the one seen last. A state was found
+    from one that was known before, so the parents form trees; depth counts their links.
+    """
     before = F.lag("state").over(W.partitionBy("task").orderBy("seq"))
     s = steps.withColumn("_before", before)
-    return s.groupBy("task", "state").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("visits"), F.min_by("_before", "seq").alias("parent"))
+    own = s.groupBy("task", "state").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("visits"), F.min_by("_before", "seq").alias("parent"), F.max_by("url", "seq").alias("url"))
+    named = lambda c: F.concat(F.lit("s"), c)  # noqa: E731  (an empty state is a state too)
+    depth = hierarchy(own.select("task", named("state").alias("n"), named("parent").alias("p")), "task", "n", "p", with_paths=False).select(F.col("grp").alias("_g"), F.substring("node", 2, 1_000_000).alias("_s"), "depth")
+    return own.join(depth, own.task.cast("string").eqNullSafe(F.col("_g")) & (own.state == F.col("_s"))).drop("_g", "_s")
 
 
-def trail(states: Column) -> Column:
-    """The stack of states: a revisit cuts it back to that state."""
-    empty = F.array().cast("array<string>")
-    step = lambda a, h: (
-        F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) == h), a)
-        .when(F.array_position(a, h) > 0, F.slice(a, F.lit(1), F.array_position(a, h).cast("int")))
-        .otherwise(F.array_append(a, h))
-    )
-    return F.aggregate(states, empty, step)
+def attempt_signature(action: Column, target: Column, value: Column, direction: Column) -> Column:
+    """action:target:value:direction, empty parts for nulls."""
+    return F.concat_ws(":", *[F.coalesce(c, F.lit("")) for c in (action, target, value, direction)])
+
+
+def dead_ends(steps: DataFrame) -> DataFrame:
+    """(task, state, target, mark, signature): each action without effect in a state, once, as first met.
+
+    steps has task, seq, state, outcome, target, mark and signature. Actions are the same
+    if they share a signature, or a target, or a structural mark (neither null nor empty).
+    An action whose target and mark tell the same things apart as its signature is told by
+    the first of target, mark and signature that is there, so no pairs are built.
+    """
+    bad = steps.where("outcome = 'NO_EFFECT'")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("t"), some("target")), F.concat(F.lit("m"), some("mark")), F.concat(F.lit("s"), F.col("signature")))
+    return bad.groupBy("task", "state", key.alias("key")).agg(F.min_by(F.struct("target", "mark", "signature"), "seq").alias("a"), F.count("*").alias("n")).select("task", "state", "a.*", "n")
+
+
+def capped(steps: DataFrame, most: int = 25) -> DataFrame:
+    """(task, steps, status): the steps a task may take, and 'max_iterations' where it took them all without ending.
+
+    steps has task, seq and action.
+    """
+    kept = steps.where(F.col("seq") <= most)
+    agg = kept.groupBy("task").agg(F.count("*").alias("steps"), F.bool_or(F.coalesce(F.col("action") == "done", F.lit(False))).alias("d"))
+    return agg.select("task", "steps", F.when(F.col("d"), "done").when(F.col("steps") >= most, "max_iterations").otherwise("open").alias("status"))
+
+
+def versions(pages: DataFrame) -> DataFrame:
+    """pages (grp, seq, url, mark) with the version of the observation: it rises with every change of the page."""
+    w = W.partitionBy("grp").orderBy("seq")
+    new = ~(F.lag("url").over(w).eqNullSafe(F.col("url")) & F.lag("mark").over(w).eqNullSafe(F.col("mark"))) | (F.row_number().over(w) == 1)
+    return pages.withColumn("_new", new.cast("int")).withColumn("version", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
 def breadcrumbs(steps: DataFrame, most: int = 25) -> DataFrame:

@@ -166,6 +166,13 @@ FROM ({_OBS}) WHERE trim(e.text) <> '' AND e.bounds.x IS NOT NULL
 _NEAR = ", ".join(f"nullif(left({_SQ.format('e.' + c)}, 100), '')" for c in ("aria_label", "placeholder", "name", "text", "value"))
 
 SQL = {
+    "dom_occlusion": f"""
+WITH e AS MATERIALIZED (SELECT row_id, perception_cycle_id AS page, bounds.x AS x, bounds.y AS y, bounds.width AS w, bounds.height AS h, {_VIS} AS vis FROM dom_elements WHERE bounds.x IS NOT NULL),
+p AS (SELECT *, unnest([0, 1, 2]) AS spot FROM e WHERE vis IN ('VISIBLE', 'PARTIALLY_VISIBLE')),
+q AS (SELECT *, x + w * [0.5::DOUBLE, 0.25, 0.75][spot + 1] AS px, y + h * [0.5::DOUBLE, 0.25, 0.75][spot + 1] AS py FROM p),
+hit AS (SELECT q.row_id, count(DISTINCT spot) AS n, bool_or(spot = 0) AS mid FROM q JOIN e o ON o.page = q.page AND o.row_id > q.row_id AND o.w > 0 AND o.h > 0 AND px BETWEEN o.x AND o.x + o.w AND py BETWEEN o.y AND o.y + o.h
+  AND NOT (o.x >= q.x AND o.y >= q.y AND o.x + o.w <= q.x + q.w AND o.y + o.h <= q.y + q.h) GROUP BY 1)
+SELECT e.row_id, CASE WHEN vis NOT IN ('VISIBLE', 'PARTIALLY_VISIBLE') THEN 'UNKNOWN' WHEN NOT coalesce(mid, false) THEN 'NOT_OCCLUDED' WHEN n < 3 THEN 'PARTIALLY_OCCLUDED' ELSE 'OCCLUDED' END AS occlusion FROM e LEFT JOIN hit USING (row_id)""",
     "dom_roles": f"SELECT row_id, {_ROLE} AS role FROM dom_elements",
     "dom_role_histogram": "SELECT perception_cycle_id, role, count(*) AS n FROM dom_elements WHERE role IS NOT NULL GROUP BY 1, 2",
     "dom_element_counts": f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.operators import pages, trajectory
 from pagelens.plans.pages import elements
-from pagelens.plans.spatial import _OUT, _STEPS, _with_outcome, steps
+from pagelens.plans.spatial import _CRUMBS, _OUT, _STEPS, _with_outcome, steps
 from pagelens.sources.tables import table
 
 
@@ -114,6 +114,11 @@ WITH b AS (SELECT component, tab_id, count(*) AS n, 0 AS p FROM timeline WHERE t
   UNION ALL SELECT component, tab_id, count(*), 1 FROM timeline WHERE tab_id IS NOT NULL AND component IS NOT NULL GROUP BY 1, 2)
 SELECT component, tab_id FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY p, n DESC, tab_id) AS rn FROM b) WHERE rn = 1""",
     "traj_distinct_states": _STEPS + "SELECT task, count(DISTINCT state) AS states, count(DISTINCT action) AS actions FROM s GROUP BY 1",
+    "traj_memory_text": _CRUMBS.rstrip() + """, b AS (SELECT *, lag(state) OVER (PARTITION BY task ORDER BY seq) AS before, lag(url) OVER (PARTITION BY task ORDER BY seq) AS ub FROM s),
+o AS (SELECT *, CASE WHEN coalesce(status = 'error', false) THEN 'FAILED' WHEN before IS NULL THEN 'UNKNOWN' WHEN action = 'done' THEN 'SUCCESS' WHEN ub IS DISTINCT FROM url THEN 'NAVIGATION' WHEN before <> state THEN 'STATE_CHANGED' ELSE 'NO_EFFECT' END AS outcome FROM b),
+p AS (SELECT *, sum(CASE WHEN outcome = 'NAVIGATION' THEN 1 ELSE 0 END) OVER (PARTITION BY task ORDER BY seq) AS part FROM o), l AS (SELECT *, max(part) OVER (PARTITION BY task) AS final FROM p),
+f AS (SELECT task, action FROM l WHERE part = final AND outcome IN ('FAILED', 'NO_EFFECT', 'TARGET_DISAPPEARED') GROUP BY 1, 2 HAVING count(*) >= 2 OR count(DISTINCT state) >= 2), g AS (SELECT task, string_agg(action, ', ' ORDER BY action) AS bad FROM f GROUP BY 1), n AS (SELECT task, count(*) AS n FROM s GROUP BY 1)
+SELECT task, concat_ws(chr(10), 'Path: ' || crumbs, 'Steps: ' || n, 'Avoid: ' || bad) AS memory FROM crumbs JOIN n USING (task) LEFT JOIN g USING (task)""",
     "traj_attempts": _STEPS + ", a AS (SELECT task, row_number() OVER (PARTITION BY task, state, action ORDER BY seq) AS k FROM s) SELECT task, count(*) FILTER (k <= 3) AS tried, count(*) FILTER (k > 3) AS given_up FROM a GROUP BY 1",
     "traj_allowed_actions": _OUT
     + """, h AS (SELECT DISTINCT task, state FROM o), a AS (SELECT DISTINCT task, action FROM o), x AS (SELECT DISTINCT task, state, action FROM o WHERE outcome IN ('FAILED', 'NO_EFFECT'))

@@ -101,26 +101,60 @@ def _new_tabs(spark, d):
     return after.join(before, "tab_id", "left_anti")
 
 
+def _seen_elements(spark, d):
+    """Elements of observations with their capture, and the ids and tags of the captures (unique only within one)."""
+    cycles = table(spark, d, "observations").select(F.col("obs_id").alias("page"), F.col("perception_cycle_id").alias("cycle"))
+    o = observed(spark, d).select("page", "ord", "target_id", "tag").join(cycles, "page")
+    known = table(spark, d, "dom_elements").select(F.col("perception_cycle_id").alias("cycle"), "target_id", "tag").where("target_id is not null and tag is not null").distinct()
+    return o, known
+
+
 def _targets(spark, d):
-    """Elements of observations that a capture of the same page also has."""
-    o = observed(spark, d).select("page", "ord", "target_id", "tag")
-    known = table(spark, d, "dom_elements").select("target_id", "tag").where("target_id is not null and tag is not null").distinct()
-    return o.join(known, ["target_id", "tag"], "left_semi").select("page", "ord", "target_id", "tag")
+    """Elements of observations that their capture also has, by id and tag."""
+    o, known = _seen_elements(spark, d)
+    return o.join(known, ["cycle", "target_id", "tag"], "left_semi").select("page", "ord", "target_id", "tag")
 
 
 def _gone(spark, d):
-    """Elements of observations that no capture has by id and tag."""
-    o = observed(spark, d).select("page", "ord", "target_id", "tag")
-    known = table(spark, d, "dom_elements").select("target_id", "tag").where("target_id is not null and tag is not null").distinct()
-    return o.join(known, ["target_id", "tag"], "left_anti").groupBy("tag").agg(F.count("*").alias("n"))
+    """Elements of observations that their capture doesn't have by id and tag."""
+    o, known = _seen_elements(spark, d)
+    return o.join(known, ["cycle", "target_id", "tag"], "left_anti").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def _context(spark, d):
+    """Each observation against the one before it in its capture: the action that was to be taken there, and what changed.
+
+    The target is the earlier page's last element; the tab is derived from the address.
+    """
     o = table(spark, d, "observations").where("observation is not null").select("obs_id", "perception_cycle_id", "observation.url", "observation.pageHash", F.transform("observation.elements", lambda e: e["target_id"]).alias("known"))
+    o = o.withColumn("tab", F.length("url") % 3)
     w = W.orderBy("obs_id").partitionBy("perception_cycle_id")
-    o = o.withColumn("u", F.lag("url").over(w)).withColumn("m", F.lag("pageHash").over(w))
-    check = trajectory.context_check(F.lit("el-1"), F.col("known"), F.lit(1), F.lit(1), F.col("u"), F.col("url"))
-    return o.select("obs_id", check.alias("check"), trajectory.change_reason(F.lit(1), F.lit(1), F.col("u"), F.col("url"), F.col("m"), F.col("pageHash")).alias("change"))
+    back = {c: F.lag(c).over(w).alias(f"_{c}") for c in ("url", "pageHash", "known", "tab")}
+    o = o.select("*", *back.values()).withColumn("target", F.try_element_at("_known", F.lit(-1)))
+    check = trajectory.context_check(F.col("target"), F.col("known"), F.col("_tab"), F.col("tab"), F.col("_url"), F.col("url"))
+    change = trajectory.change_reason(F.col("_tab"), F.col("tab"), F.col("_url"), F.col("url"), F.col("_pageHash"), F.col("pageHash"))
+    return o.select("obs_id", check.alias("check"), change.alias("change"))
+
+
+OUTCOMES = (
+    (True, "a", "b", "click", "u", "v", True, "FAILED"), (None, None, "b", "click", "u", "u", None, "UNKNOWN"), (False, "a", None, "done", "u", "u", None, "UNKNOWN"), (False, "a", "b", "done", "u", "v", True, "SUCCESS"), (False, "a", "b", "click", "u", "v", True, "NAVIGATION"),
+    (False, "a", "b", "click", None, "v", False, "NAVIGATION"), (False, "a", "b", "click", "u", "u", True, "TARGET_DISAPPEARED"), (False, "a", "b", "click", "u", "u", False, "STATE_CHANGED"), (False, "a", "a", "click", None, None, None, "NO_EFFECT"),
+)
+CONTEXTS = (
+    ("t", ["s"], 1, 1, "u", "u", "TARGET_NOT_IN_OBSERVATION", "SAME_PAGE"), ("t", None, 1, 1, "u", "u", "TARGET_NOT_IN_OBSERVATION", "SAME_PAGE"), ("t", ["t"], 1, 2, "u", "v", "TAB_CHANGED", "NEW_TAB"), (None, [], 1, 1, "u", "v", "URL_CHANGED", "NAVIGATION"),
+    (None, None, None, None, None, None, "OK", "SAME_PAGE"), ("t", ["s", "t"], 1, 1, "u", "u", "OK", "SAME_PAGE"), (None, [], None, 1, "u", "u", "TAB_CHANGED", "NEW_TAB"),
+)
+
+
+def _outcome_cases(spark, d):
+    rows = spark.createDataFrame([(i, *x[:7]) for i, x in enumerate(OUTCOMES)], "n int, error boolean, before string, after string, action string, url string, new_url string, gone boolean")
+    return rows.select("n", trajectory.outcome(*[F.col(c) for c in ("error", "before", "after", "action", "url", "new_url", "gone")]).alias("outcome"))
+
+
+def _context_cases(spark, d):
+    rows = spark.createDataFrame([(i, *x[:6]) for i, x in enumerate(CONTEXTS)], "n int, target string, known array<string>, tab int, new_tab int, url string, new_url string")
+    c = [F.col(x) for x in ("target", "known", "tab", "new_tab", "url", "new_url")]
+    return rows.select("n", trajectory.context_check(*c).alias("check"), trajectory.change_reason(*c[2:], F.lit("m"), F.lit("m")).alias("change"))
 
 
 def _signatures(spark, d):
@@ -158,6 +192,8 @@ QUERIES = {
     "traj_target_semi": _targets,
     "traj_target_gone": _gone,
     "traj_context_check": _context,
+    "traj_outcome_cases": _outcome_cases,
+    "traj_context_cases": _context_cases,
     "action_signatures": _signatures,
     "action_validate": _actions,
 }
@@ -190,6 +226,13 @@ o AS (SELECT *, CASE WHEN coalesce(status = 'error', false) THEN 'FAILED' WHEN b
 _B = "SELECT perception_cycle_id AS page, row_id AS id, row_id AS ord, bounds.x AS x, bounds.y AS y, bounds.width AS w, bounds.height AS h, tag FROM dom_elements WHERE bounds.x IS NOT NULL"
 _OBS = "SELECT obs_id AS page, CAST(i - 1 AS INTEGER) AS ord, observation.elements[i] AS e FROM (SELECT obs_id, observation, unnest(range(1, len(observation.elements) + 1)) AS i FROM observations)"
 
+# the trail: from a task's first state on to what followed the last visit of each, until nothing does
+_CRUMBS = _STEPS.replace("WITH i", "WITH RECURSIVE i") + """, nx AS (SELECT task, state, seq, lead(state) OVER (PARTITION BY task ORDER BY seq) AS nxt FROM s),
+lastv AS (SELECT task, state, arg_max(struct_pack(n := nxt), seq) AS l FROM nx GROUP BY 1, 2),
+way AS (SELECT task, arg_min(state, seq) AS state, 1 AS k FROM s GROUP BY 1 UNION ALL SELECT way.task, l.n, k + 1 FROM way JOIN lastv USING (task, state) WHERE l.n IS NOT NULL),
+crumbs AS (SELECT task, string_agg(k || '. ' || left(state, 25), ' > ' ORDER BY k) AS crumbs FROM way GROUP BY 1)
+"""
+
 SQL = {
     "box_validate": _VALID,
     "box_normalize": _valid_sql(*[_SCALE.format(c, s) for c, s in (("x", 1.5), ("y", 1.35), ("w", 1.5), ("h", 1.35))], 1920, 1080, _FLAT),
@@ -217,16 +260,21 @@ SELECT task, seq, action, state, streak FROM n WHERE streak >= 2""",
 l AS (SELECT *, max(part) OVER (PARTITION BY task) AS last FROM p)
 SELECT task, action, count(*) AS n, CAST(count(DISTINCT state) AS INTEGER) AS n_states, arg_max(outcome, seq) AS last_outcome, count(*) >= 2 OR count(DISTINCT state) >= 2 AS retry
 FROM l WHERE part = last AND outcome IN ('FAILED', 'NO_EFFECT', 'TARGET_DISAPPEARED') GROUP BY 1, 2""",
-    "traj_first_seen_parent": _STEPS + """, b AS (SELECT *, lag(state) OVER (PARTITION BY task ORDER BY seq) AS before, row_number() OVER (PARTITION BY task, state ORDER BY seq) AS v FROM s)
-SELECT task, state, CAST(min(seq) AS INTEGER) AS first_seq, CAST(max(seq) AS INTEGER) AS last_seq, count(*) AS visits, max(before) FILTER (v = 1) AS parent FROM b GROUP BY 1, 2""",
+    "traj_first_seen_parent": _STEPS.replace("WITH i", "WITH RECURSIVE i") + """, b AS (SELECT *, lag(state) OVER (PARTITION BY task ORDER BY seq) AS before, row_number() OVER (PARTITION BY task, state ORDER BY seq) AS v FROM s),
+f AS (SELECT task, state, CAST(min(seq) AS INTEGER) AS first_seq, CAST(max(seq) AS INTEGER) AS last_seq, count(*) AS visits, max(before) FILTER (v = 1) AS parent, arg_max(url, seq) AS url FROM b GROUP BY 1, 2),
+r AS (SELECT task, state, 0 AS depth FROM f WHERE parent IS NULL UNION ALL SELECT f.task, f.state, r.depth + 1 FROM r JOIN f ON f.task = r.task AND f.parent = r.state)
+SELECT f.*, CAST(r.depth AS BIGINT) AS depth FROM f JOIN r USING (task, state)""",
+    "traj_breadcrumbs": _CRUMBS + "SELECT task, crumbs FROM crumbs",
     "traj_new_tabs_anti": "SELECT DISTINCT tab_id FROM timeline WHERE tab_id IS NOT NULL AND received_at >= '2026-01-15' AND tab_id NOT IN (SELECT tab_id FROM timeline WHERE tab_id IS NOT NULL AND received_at < '2026-01-15')",
-    "traj_target_semi": f"SELECT page, ord, e.target_id AS target_id, e.tag AS tag FROM ({_OBS}) WHERE EXISTS (SELECT 1 FROM dom_elements k WHERE k.target_id = e.target_id AND k.tag = e.tag)",
-    "traj_target_gone": f"SELECT e.tag AS tag, count(*) AS n FROM ({_OBS}) WHERE NOT EXISTS (SELECT 1 FROM dom_elements k WHERE k.target_id = e.target_id AND k.tag = e.tag) GROUP BY 1",
+    "traj_target_semi": f"SELECT page, ord, e.target_id AS target_id, e.tag AS tag FROM ({_OBS}) JOIN observations q ON q.obs_id = page WHERE EXISTS (SELECT 1 FROM dom_elements k WHERE k.perception_cycle_id = q.perception_cycle_id AND k.target_id = e.target_id AND k.tag = e.tag)",
+    "traj_target_gone": f"SELECT e.tag AS tag, count(*) AS n FROM ({_OBS}) JOIN observations q ON q.obs_id = page WHERE NOT EXISTS (SELECT 1 FROM dom_elements k WHERE k.perception_cycle_id = q.perception_cycle_id AND k.target_id = e.target_id AND k.tag = e.tag) GROUP BY 1",
     "traj_context_check": """
-WITH o AS (SELECT obs_id, observation.url AS url, observation."pageHash" AS mark, list_transform(observation.elements, lambda e: e.target_id) AS known, lag(observation.url) OVER w AS u, lag(observation."pageHash") OVER w AS m
-  FROM observations WHERE observation IS NOT NULL WINDOW w AS (PARTITION BY perception_cycle_id ORDER BY obs_id))
-SELECT obs_id, CASE WHEN NOT coalesce(list_contains(known, 'el-1'), false) THEN 'TARGET_NOT_IN_OBSERVATION' WHEN u IS DISTINCT FROM url THEN 'URL_CHANGED' ELSE 'OK' END AS "check",
-       CASE WHEN u IS DISTINCT FROM url THEN 'NAVIGATION' WHEN m IS DISTINCT FROM mark THEN 'RELOAD' ELSE 'SAME_PAGE' END AS change FROM o""",
+WITH o AS (SELECT obs_id, perception_cycle_id, observation.url AS url, observation."pageHash" AS mark, list_transform(observation.elements, lambda e: e.target_id) AS known, length(observation.url) % 3 AS tab FROM observations WHERE observation IS NOT NULL),
+b AS (SELECT *, lag(url) OVER w AS u, lag(mark) OVER w AS m, lag(known)  OVER w AS k, lag(tab) OVER w AS t FROM o WINDOW w AS (PARTITION BY perception_cycle_id ORDER BY obs_id))
+SELECT obs_id, CASE WHEN k[-1] IS NOT NULL AND NOT coalesce(list_contains(known, k[-1]), false) THEN 'TARGET_NOT_IN_OBSERVATION' WHEN t IS DISTINCT FROM tab THEN 'TAB_CHANGED' WHEN u IS DISTINCT FROM url THEN 'URL_CHANGED' ELSE 'OK' END AS "check",
+       CASE WHEN t IS DISTINCT FROM tab THEN 'NEW_TAB' WHEN u IS DISTINCT FROM url THEN 'NAVIGATION' WHEN m IS DISTINCT FROM mark THEN 'RELOAD' ELSE 'SAME_PAGE' END AS change FROM b""",
+    "traj_outcome_cases": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x[-1]}')" for i, x in enumerate(OUTCOMES)) + ") AS t(n, outcome)",
+    "traj_context_cases": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x[-2]}', '{x[-1]}')" for i, x in enumerate(CONTEXTS)) + ') AS t(n, "check", change)',
     "action_signatures": f"SELECT page, ord, 'click:' || coalesce(e.target_id, '') || ':' || left(coalesce(e.text, ''), 30) AS signature FROM ({_OBS})",
     "action_validate": """
 SELECT * FROM (VALUES
