@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import gate, pages, raster, redaction, sessions, spatial, streams, telemetry, training
+from pagelens.plans import gate, pages, raster, redaction, sessions, spatial, streams, telemetry, training, views
 
-PARTS = (training, pages, telemetry, spatial, redaction, gate, raster, streams, sessions)
+PARTS = (training, pages, telemetry, spatial, redaction, gate, raster, streams, sessions, views)
 
 
 def queries() -> dict:
