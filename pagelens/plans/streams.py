@@ -15,7 +15,16 @@ def _last(spark, d):
 
 def _once(spark, d):
     out = s.once(s.source(spark, d, "timeline"), normal_id(F.col("id")), "received_at")
-    return out.groupBy("component").agg(F.count_distinct("_id").alias("ids"), F.count("*").alias("rows"))
+    return out.agg(F.count_distinct("_id").alias("ids"), F.count("*").alias("rows"))
+
+
+def _relay(spark, d):
+    return s.relayed(s.source(spark, d, "timeline")).groupBy("component", "event").agg(F.count("*").alias("n"))
+
+
+def _history(spark, d):
+    rows = s.history(s.source(spark, d, "timeline"), [F.col("received_at").desc(), F.col("id").asc_nulls_last(), F.col("event").asc(), F.col("batch_id").desc()])
+    return rows.select("id", "event", F.unix_micros("received_at").alias("received_us"))
 
 
 def _ingest(spark, d):
@@ -40,6 +49,8 @@ def _connection(spark, d):
 QUERIES = {
     "stream_last_value": _last,
     "stream_once": _once,
+    "stream_relay": _relay,
+    "stream_history": _history,
     "stream_ingest": _ingest,
     "stream_latency_windows": _windows,
     "stream_visits": _visits,
@@ -47,6 +58,9 @@ QUERIES = {
 }
 
 SQL = {
+    "stream_once": r"SELECT count(DISTINCT k) AS ids, count(DISTINCT k) AS rows FROM (SELECT nullif(lower(regexp_replace(id, '^\s+|\s+$', '', 'g')), '') AS k FROM timeline)",
+    "stream_relay": "SELECT component, event, count(*) AS n FROM timeline GROUP BY 1, 2",
+    "stream_history": "SELECT id, event, epoch_us(received_at) AS received_us FROM timeline ORDER BY received_at DESC, id ASC NULLS LAST, event, batch_id DESC LIMIT 250",
     "stream_last_value": "SELECT milestone.id AS id, arg_max(milestone.status, update_id) FILTER (milestone.status IS NOT NULL) AS status, arg_max(milestone.summary, update_id) FILTER (milestone.summary IS NOT NULL) AS summary FROM milestones WHERE milestone.id IS NOT NULL GROUP BY 1",
     "stream_ingest": "SELECT coalesce(json_valid(payload), false) AS accepted, CASE WHEN json_valid(payload) AND json_extract_string(payload, '$.type') = 'M2_RESULT' THEN 'dom' END AS route, count(*) AS n FROM raw_records GROUP BY 1, 2",
     "stream_latency_windows": 'SELECT epoch_us(date_trunc(\'day\', timestamp)) AS start_us, component, count(*) AS n, min("latencyMs") AS low, max("latencyMs") AS top FROM timeline WHERE timestamp IS NOT NULL AND isfinite("latencyMs") AND "latencyMs" >= 0 GROUP BY 1, 2',
