@@ -157,10 +157,10 @@ def demand(n: int) -> tuple[int, int]:
     return min(-(-(size - size // 10) // (size // 10 + 1)) for size in range(half, n + 1)), 1
 
 
-def leaked(item: np.ndarray, part: np.ndarray) -> bool:
+def leaked(item: np.ndarray, part: np.ndarray, may: np.ndarray | None = None) -> bool:
     """Whether `part` holds a run of at least half of the item's words, a tenth changed at most.
 
-    For each start in the item at once: edit distance to any stretch of `part`, word by
+    For each start in the item (that `may` begin a run) at once: edit distance to any stretch of `part`, word by
     word of the item; a run is accepted at the first length where its edits are few enough.
     """
     n, m = len(item), len(part)
@@ -169,11 +169,13 @@ def leaked(item: np.ndarray, part: np.ndarray) -> bool:
     cost = np.empty((0, m + 1), np.int32)
     begun = np.empty(0, np.int64)  # the starts that can still lead to a run
     for i in range(n):
-        if i <= n - half:
+        if i <= n - half and (may is None or may[i]):
             cost = np.concatenate([cost, np.zeros((1, m + 1), np.int32)])
             begun = np.append(begun, i)
         elif not len(begun):
-            return False
+            if i > n - half:
+                return False
+            continue
         step = cost + 1
         np.minimum(step[:, 1:], cost[:, :-1] + (part != item[i]), out=step[:, 1:])
         step -= ramp
@@ -281,7 +283,8 @@ def verified(doc: np.ndarray, item: np.ndarray, begins: list[int]) -> bool:
         padded = np.concatenate([np.zeros(max(0, -lo), np.uint64), part, np.zeros(hi - max(0, lo) - len(part), np.uint64)])
         wide = np.lib.stride_tricks.sliding_window_view(padded, BAND + 2 * slack)[:n]
         near = np.cumsum(np.r_[0, (wide == item[:, None]).any(axis=1)])
-        if (near[half:] - near[:-half]).max() * 5 >= 4 * half and leaked(item, part):
+        may = (near[half:] - near[:-half]) * 5 >= 4 * half
+        if may.any() and leaked(item, part, may):
             return True
     return False
 
