@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, FAN = 2048, 8
+#: Sketches that a task holds at once while it reads rows.
+MOST_HELD = 512
 PROBS = (0.5, 0.9, 0.95, 0.99)
 SKETCH = "metric string, grp string, day string, n long, err long, lo double, hi double, body binary"
 NAMES = ["metric", "grp", "day", "n", "err", "lo", "hi", "body"]
@@ -165,6 +167,9 @@ def partials(metric: str, df: DataFrame, group: Column, day: Column, value: Colu
                     sketches[key] = Sketch()
                 part = v[a:b]
                 sketches[key].add(part[~np.isnan(part)])
+            if len(sketches) > MOST_HELD:  # put out and begun anew; they are merged later
+                yield from _chunks(s.row(k) for k, s in sketches.items())
+                sketches = {}
         yield from _chunks(s.row(k) for k, s in sketches.items())
 
     return df.select(group.cast("string").alias("grp"), day.cast("string").alias("day"), valid(value.cast("double")).alias("v")).mapInArrow(run, SKETCH)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelens.llm import plans, quantiles
 from tests.compare import connect, same
@@ -56,3 +57,11 @@ def test_bad_values_and_null_groups(spark):
     out = {(r.grp, r.day): (r.n, r.p50) for r in quantiles.per_day_and_all([parts], cut_lineage).collect()}
     assert out == {("a", "d"): (1, 1.0), ("a", "all"): (1, 1.0), (None, "d"): (1, 5.0), (None, "all"): (1, 5.0), ("b", "d"): (0, None), ("b", "all"): (0, None)}
     assert quantiles.per_day_and_all([parts.where("false")], cut_lineage).count() == 0
+
+
+def test_many_groups_in_a_task(spark, monkeypatch):
+    rows = [(f"g{i % 1500}", float(i)) for i in range(4500)]
+    df = spark.createDataFrame(rows, "g string, x double").coalesce(1)
+    parts = quantiles.partials("m", df, F.col("g"), F.lit("d"), F.col("x"))
+    out = {r.grp: (r.n, r.p50) for r in quantiles.percentiles(quantiles.merged(parts)).collect()}
+    assert out == {f"g{i}": (3, float(i + 1500)) for i in range(1500)}
