@@ -74,6 +74,8 @@ _NOTE = re.compile(r'"[A-Za-z_]+":\s*"((?:[^"\\]|\\.)*)"', re.S)
 _MARK = re.compile(r"^[ \t]*(?:>[ \t]*|#+[ \t]|[-*•→][ \t]+|\d{1,4}[.)][ \t]+|\[[\d:.]+\][ \t]*(?:#\d+[ \t]*)?|(?:user|agent|assistant|system)[ \t]*:[ \t]*|M\d[ \t]+\d+[ \t]?ms[ \t]*\|[ \t]*)+", re.M | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”“\n]{1,80}[”“]|„[^“”\n]{1,80}[“”]|«[^»\n]{1,80}»|『[^』\n]{1,80}』|‘[^’\n]{1,80}’")
 _CODE = re.compile(r"https?://\S+|\S*[@＠_=\d§$#{}\[\]\\/%]\S*")
+# One of these stands wherever the two above can match.
+_QUOTE, _SIGN = re.compile("[\"“„«『‘]"), re.compile(r"[@＠_=\d§$#{}\[\]\\/%]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»“)\]]*\s+(?=[^\W\da-z_]|[¿¡\"'“„«(\[{<\d$§@#])|\n\s*\n|\s\|\s|\x00")
 _WORDS = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]+")
@@ -111,8 +113,12 @@ def sentences(text: str) -> list[list[str]]:
     t = re.sub(r"(?<=[.!?:)…\"”»])\n", "\x00", t)
     out = []
     for part in _SPLIT.split(t):
-        words = _WORDS.findall(_CODE.sub(" ", _QUOTED.sub(" ", part)))
-        small = sum(w[0].islower() for w in words)
+        if _QUOTE.search(part):
+            part = _QUOTED.sub(" ", part)
+        if _SIGN.search(part):
+            part = _CODE.sub(" ", part)
+        words = _WORDS.findall(part)
+        small = len([1 for w in words if w[0].islower()])
         if small >= MIN_WORDS or not small and len(words) >= MIN_CAPITALS and all(w.isupper() for w in words):
             out.append([w.casefold() for w in words])
     return out
