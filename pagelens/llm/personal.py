@@ -9,7 +9,9 @@ share of its instances that are labelled with a type, an instance takes the type
 patterns agree on, and so confident patterns label instances no seed stands beside.
 
 Scoring works on signatures (equal candidates counted once), which are few compared to
-the texts. Addresses and e-mail addresses are told by their shape alone.
+the texts. Addresses are bootstrapped in a pass of their own: from a few street words the
+contexts of addresses are learned, and from these further street words, whose places in
+the texts then count as addresses. E-mail addresses are told by their shape alone.
 """
 
 from __future__ import annotations
@@ -49,24 +51,34 @@ _DOT = r"(?:\.|\s{0,2}[\[({]\s?[dD][oO][tT]\s?[\])}]\s{0,2})"
 _LOCAL = re.compile(r"[\w.+\u0300-\u036f-]")
 _DOMAIN = re.compile(rf"[^\W_][\w\u0300-\u036f-]*(?:{_DOT}[\w\u0300-\u036f-]+)*{_DOT}[A-Za-z][A-Za-z-]+(?!\w)")
 _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|html?|json|zip|pdf|mp4)$", re.I)
-# Street forms, searched in lower case; the group is the name's first word.
-_PART = r"[^\W\d_](?:[^\W\d_]|['’\u0300-\u036f-])*"
-_ADDRESSES = [
-    re.compile(rf"(?<![\w./-])\d{{1,5}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|impasse|allée|allee|chemin|quai|route)\s+(?:(?:de\s+la|des|du|de)\s+|d['’]|l['’])?({_PART})"),
-    re.compile(rf"(?<![\w./-])\d{{1,5}}[a-z]?\s+({_PART})\s+((?:{_PART}\s+){{0,3}}?)(?:street|st\.|st\b|avenue|ave|road|rd|lane|drive|court|boulevard|blvd|crescent|square|terrace|way)(?:(?<=\.)|(?!\w))"),
-    re.compile(rf"(?<!\w)(?=[aceloprtuv])(?:(?:c/|avda\.|ul\.|al\.|pl\.|os\.)\s*|(?:calle|plaza|avda|avenida|paseo|camino|rua|travessa|praça|praca|largo|estrada|viale|via|piazza|corso|vicolo|ulica|aleja|plac)\s+)(?:d[aeo]s?\s+|del(?:la)?\s+|de\s+la\s+)?({_PART})(?:\s+{_PART})?,?\s+(?:n\.?\s?[º°]\s?)?\d{{1,4}}[a-z]?(?![\w-])"),
-    re.compile(rf"(?<!\w)(?:(?:ул\.|пр\.|пер\.|пл\.|наб\.|пр-т|б-р)\s*|(?:улица|проспект|переулок|площадь|набережная|бульвар|шоссе)\s+)({_PART})(?:\s+{_PART})?,?\s+(?:д\.|дом)?\s*\d{{1,4}}[а-яa-z]?(?![\w-])"),
-]
-# One of these stands in any text in which the form of the same place can match.
-_HINTS = (
-    ("rue", "avenue", "boulevard", "place", "impasse", "allée", "allee", "chemin", "quai", "route"),
-    ("st", "ave", "road", "rd", "lane", "drive", "court", "boulevard", "blvd", "crescent", "square", "terrace", "way"),
-    ("c/", "calle", "plaza", "avda", "avenida", "paseo", "camino", "rua", "travessa", "praça", "praca", "largo", "estrada", "via", "piazza", "corso", "vicolo", "ul.", "al.", "pl.", "os.", "ulica", "aleja", "plac"),
-    ("д",),
+# A street's name and number stand in one of four forms, of which the words tell the street:
+# 1 number name word, 2 number word name, 3 word name number, 4 name with an ending, number.
+STREET_SEEDS = frozenset(
+    [("1", w) for w in ("street", "st", "avenue", "road", "lane")]
+    + [("2", w) for w in ("rue", "avenue", "boulevard")]
+    + [("3", w) for w in ("calle", "c", "avda", "plaza", "rua", "travessa", "avenida", "via", "viale", "piazza", "ul", "al", "ул")]
+    + [("4", w) for w in ("sse", "str", "weg", "atz", "aat", "cht", "aan")]
 )
+STREET_ROUNDS = 3
+#: A context is one of addresses from this many known ones and this share of its candidates on; a word
+#: is a street's from this many ways in such contexts and this share of its ways on.
+CONTEXT_LEAST, CONTEXT_SHARE, WORD_LEAST, WORD_SHARE = 2, 0.2, 3, 0.6
+#: Words in fewer than 1 / RAREST of all known ways aren't kept, so there are at most RAREST.
+RAREST = 20_000
+#: Abbreviations to which their full stop belongs.
+DOTTED = frozenset(("st",))
+_L = r"[^\W\d_]"
+_OWN = rf"[{_CAP}](?:{_L}|['’\u0300-\u036f-])*"
+_HOUSE = re.compile(r"\d(?<![\w./-]\d)\d{0,4}(?:[a-z](?!\w)|\s?(?:bis|ter)(?!\w))?,?\s+(?=[^\W\d_])", re.I)
+_STREET_WORD = re.compile(rf"({_L}(?:{_L}|['’\u0300-\u036f-])*)(\.?)(\s*)")
+_LINK = re.compile(r"\s+(?:(?:de\s+la|des|du|de)\s+|[dl]['’])?", re.I)
+_OWN_WORD = re.compile(_OWN)
+_LAST = re.compile(r"\d(?<=[\s.°º]\d)\d{0,3}[a-zа-я]?(?![\w-])")
+_DOOR = r",?\s+(?i:n\.?\s?[º°]\s?|(?:д\.|дом)\s*)?$"
+_ENDING = re.compile(rf"({_OWN})(\.?)\s+$")
+_PARTS = r"(?:(?:d[aeo]s?|del(?:la)?|de\s+la)\s+)?"
+_AHEAD = [re.compile(rf"(?<!\w)(?:({_L}+)\s+)?({_L}{{1,10}})(?:\.\s*|/\s*|\s+){_PARTS}{_OWN}{_DOOR}"), re.compile(rf"(?<!\w)({_L}{{1,10}})(?:\.\s*|/\s*|\s+){_PARTS}({_OWN})\s+{_OWN}{_DOOR}")]
 _COMMA = re.compile(rf",\s+[{_CAP}]")
-_STREET_END = re.compile(r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|straat|laan|kade|gracht|plein|singel|dijk)\s+\d{1,4}[a-z]?(?![\w-])")
-_STREET_HEAD = re.compile(r"(?<!\w)[^\W\d_](?:[^\W\d_]|[\u0300-\u036f-])*$")
 _NUMBER = re.compile(r"[\d+(](?<![\w.,:/=+#-][\d+(])(?<!\d \d)(?:(?<=\d)|\d)(?:(?:\r\n|[-./\s]|\s?\(|\)\s?-?)?\d){6,}")
 _NUMBER_AFTER = re.compile(r"(?<==)\d(?:[-\s]?\d)*")
 _ALNUM = re.compile(r"[A-Z0-9](?<![\w.-][A-Z0-9])(?:(?<=[A-Z])[A-Z]\s?\d{6}\s?[A-Z]|[A-Z0-9]{7,11})(?![\w-])")
@@ -100,20 +112,48 @@ def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
     return before[-4:], " ".join(after) or "$"
 
 
-def _further(m: re.Match) -> list[int]:
-    """Where the third and later words of a long street name start, which are in capitals too."""
-    if m.re.groups < 2 or not m[2]:
-        return []
-    return [m.start(2) + w.start() for w in re.finditer(r"\S+", m[2])][1:]
+def streets(t: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, form, word, other) of whatever may be an address, with the word that would tell it.
 
-
-def candidates(text: str) -> Iterator[tuple]:
+    other: a word beside it that explains the candidate away if it is a street's itself.
+    """
+    for m in _HOUSE.finditer(t):
+        words, at = [], m.end()
+        while len(words) < 5 and (w := _STREET_WORD.match(t, at)):
+            words.append(w)
+            at = w.end()
+            if w[2] or not w[3]:
+                break
+        for k in range(1, len(words)):
+            if not words[k - 1][0][0].isupper():
+                break
+            word = plain(words[k][1])
+            yield m.start(), words[k].end(2 if word in DOTTED else 1), "1", word, plain(words[k - 1][1])
+        if words and (link := _LINK.match(t, words[0].end(1))) and (own := _OWN_WORD.match(t, link.end())):
+            yield m.start(), own.end(), "2", plain(words[0][1]), plain(own[0])
+    for m in _LAST.finditer(t):
+        lead = max(0, m.start() - 80)
+        before = t[lead : m.start()]
+        if (w := _ENDING.search(before)) and len(end := plain(w[1])) > 5 and (end[-3:] == "str") == bool(w[2]):
+            yield lead + w.start(), m.end(), "4", end[-3:], ""
+        if w := _AHEAD[0].search(before):
+            yield lead + w.start(2), m.end(), "3", plain(w[2]), plain(w[1] or "")
+        if w := _AHEAD[1].search(before):
+            yield lead + w.start(), m.end(), "3", plain(w[1]), plain(w[2])
+
+
+def _told(form: str, word: str, other: str, known: frozenset) -> bool:
+    return (form, word) in known and ("1" if form == "2" else form, other) not in known
+
+
+def candidates(text: str, known: frozenset = STREET_SEEDS) -> Iterator[tuple]:
     """(start, end, kind, form, a, b, left, right, seed) of each candidate in a text.
 
     kind: EMAIL, ADDRESS, NUM or NAME; a and b: given and family name (plain), or the shape
     of a number and the two words before it; form: "strict" for a name with a comma, a
     middle initial or a particle, of which both parts, or the given name and the words on
     either side, must be known; seed: a type or NONE where the context is unmistakable, else ''.
+    known: forms and words of streets.
     """
     t = text.replace("\\n", "\x00\x00").replace("\\t", "\x00\x00").replace("\\r", "\x00\x00") if "\\" in text else text
     taken: list[tuple[int, int]] = []
@@ -133,18 +173,12 @@ def candidates(text: str) -> Iterator[tuple]:
         if start < end and t[end - 1] != ".":
             taken.append((start, domain.end()))
             yield (start, domain.end(), "EMAIL", "plain", "", "", "", "", "EMAIL")
-    low = t.lower()
-    if len(low) != len(t):
-        low = "".join(x if len(x := c.lower()) == 1 else c for c in t)
-    streets = [(m.start(), m.end(), m.start(1), *_further(m)) for pattern, hints in zip(_ADDRESSES, _HINTS, strict=True) if any(h in low for h in hints) for m in pattern.finditer(low)]
-    for m in _STREET_END.finditer(low):
-        if head := _STREET_HEAD.search(low, max(0, m.start() - 40), m.start()):
-            streets.append((head.start(), m.end(), head.start()))
     mask = bytearray(len(t))  # the signs that belong to a finding
     for start, end in taken:
         mask[start:end] = b"\x01" * (end - start)
-    for start, end, *names in streets:
-        if all(t[n].isupper() for n in names) and mask.find(1, start, end) < 0:
+    found = [(start, end) for start, end, *rest in streets(t) if _told(*rest, known)]
+    for start, end in sorted(found, key=lambda x: (x[0] - x[1], x[0])):  # the longest first
+        if mask.find(1, start, end) < 0:
             mask[start:end] = b"\x01" * (end - start)
             taken.append((start, end))
             yield (start, end, "ADDRESS", "plain", "", "", "", "", "ADDRESS")
@@ -201,8 +235,45 @@ _NAMES = [c.split()[0] for c in CANDIDATE.split(", ")]
 _KINDS = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 8]
 
 
-def extract(units: DataFrame) -> DataFrame:
-    """Candidates of all units; short texts that repeat are read once in a task."""
+def street_words(units: DataFrame, rounds: int = STREET_ROUNDS) -> frozenset:
+    """(form, word) of the words that tell streets: the seeds, and those learned from the contexts they share.
+
+    Different ways to stand in a text are counted, not rows. The words learned are at most RAREST.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # of this batch; distinct again below
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for start, end, form, word, other in streets(text):
+                    before, right = _around(text, start, end)
+                    seen.add((form, word, other, " ".join(before[-2:]), "" if right == "$" else right))
+            columns = list(zip(*seen, strict=True)) if seen else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["form", "word", "other", "l", "r"])
+            seen.clear()
+
+    ways = kept(units.select("text").where(F.col("text").rlike("[0-9]")).mapInArrow(run, "form string, word string, other string, l string, r string").distinct())
+    spark = units.sparkSession
+    seeds = spark.createDataFrame(sorted(STREET_SEEDS), "form string, word string")
+    known = seeds
+    for _ in range(rounds):
+        mine = known.select("form", "word", F.lit(True).alias("told"))
+        beside = known.select(F.col("form").alias("x"), F.col("word").alias("other"), F.lit(True).alias("away"))
+        live = ways.withColumn("x", F.when(F.col("form") == "2", "1").otherwise(F.col("form"))).join(beside, ["x", "other"], "left").where("away is null").join(mine, ["form", "word"], "left")
+        live = live.select("form", "word", "told", F.xxhash64("form", "word", "other", "l", "r").alias("w"), F.explode(F.array(F.concat(F.lit("l"), "l"), F.concat(F.lit("r"), "r"))).alias("c")).where(F.length("c") > 1)
+        contexts = live.groupBy("c").agg(F.count("*").alias("all"), F.count("told").alias("near")).where("all >= 3")
+        contexts = contexts.select("c", ((F.col("near") >= CONTEXT_LEAST) & (F.col("near") >= CONTEXT_SHARE * (F.col("all") + 1))).alias("good"))
+        each = live.join(contexts, "c").groupBy("form", "word", "w").agg(F.max("good").alias("good"))
+        words = each.groupBy("form", "word").agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
+        words = kept(words.where((F.col("good") >= WORD_LEAST) & (F.col("good") >= WORD_SHARE * (F.col("all") + 1))))
+        total = words.agg(F.sum("good")).first()[0] or 0
+        known = seeds.union(words.where(F.col("good") * RAREST >= total).select("form", "word")).distinct()
+    return frozenset((r.form, r.word) for r in known.collect())
+
+
+def extract(units: DataFrame, words: frozenset = STREET_SEEDS) -> DataFrame:
+    """Candidates of all units; short texts that repeat are read once in a task. words: of streets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[tuple]] = {}
@@ -211,7 +282,7 @@ def extract(units: DataFrame) -> DataFrame:
             for table, row, field, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = known.get(text)
                 if spans is None:
-                    spans = [(s, e, " ".join(text[s:e].split()), *rest) for s, e, *rest in candidates(text)]
+                    spans = [(s, e, " ".join(text[s:e].split()), *rest) for s, e, *rest in candidates(text, words)]
                     if len(text) < 120 and len(known) < 200_000:
                         known[text] = spans
                 rows += [(table, row, field, part, *s) for s in spans]
@@ -344,7 +415,7 @@ def spans(units: DataFrame) -> DataFrame:
 
     Where a name in either order overlaps one in direct order, the latter stays.
     """
-    found = kept(extract(units))
+    found = kept(extract(units, street_words(units)))
     labels = scored(found).where(~F.col("label").isin("", "NONE"))
     sure = found.where(F.col("kind").isin("EMAIL", "ADDRESS")).withColumn("label", F.col("kind"))
     told = found.where(F.col("kind").isin("NUM", "NAME")).join(labels, ["kind", "form", *ROLES])

@@ -3,8 +3,11 @@ from __future__ import annotations
 from pagelens.llm import personal as P
 
 
+KNOWN = P.STREET_SEEDS | {("2", "impasse"), ("1", "boulevard")}  # as a corpus would teach
+
+
 def kinds(text):
-    return {(k, text[a:b]) for a, b, k, *_ in P.candidates(text)}
+    return {(k, text[a:b]) for a, b, k, *_ in P.candidates(text, KNOWN)}
 
 
 def test_addresses_and_emails_in_all_forms():
@@ -18,6 +21,19 @@ def test_addresses_and_emails_in_all_forms():
     assert ("EMAIL", "ana@x.test") in kinds("Zoe Halv\\nana@x.test\\n+44 20 7946 0192")
 
 
+def test_street_words_are_learned_from_shared_contexts(spark):
+    said = ["The parcel goes to {}, second floor.", "My address is {}, please ring.", "They moved to {}, as I heard.", "Send it to {}, not to us."]
+    names = ["Brinesc", "Halvok", "Mordel", "Narrel", "Quelat", "Velkim"]
+    seen = ["{} {} Road", "{} {} Lane", "rue {1} {0}", "{1}vägatan {0}", "{1}bygatan {0}", "{0} {1} Gardens", "{1}sonstrasse {0}"]
+    rows = [s.format(f.format(10 + i, n)) for i, n in enumerate(names) for s in said for f in seen]
+    rows += [f"Step {i} of Build {i} is in View {i + 3} now, {i} New Items were added" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    words = P.street_words(P.units_of(df))
+    assert {("4", "tan"), ("1", "gardens")} <= words and not {w for _, w in words} & {"items", "view", "build", "of", "iew", "ild", "tep", "new"}
+    out = {r.pii_value for r in P.found(P.units_of(df)).where("pii_type = 'ADDRESS'").collect()}
+    assert {"Brinescvägatan 10", "10 Brinesc Gardens", "Velkimsonstrasse 15"} <= out and not any("View" in v or "Item" in v for v in out)
+
+
 def texts(spark):
     names = [("Clara", "Ulmbathy"), ("Hugo", "Velkerhof"), ("Mira", "Narrokka"), ("Karl", "Wexathy"), ("Noor", "Quelathy"), ("Zoë", "Écrelund")]
     said = ["Mr. {} {} complained about the photo.", "Thanks, {} {}, for the recording.", "Assigned to {} {} for another look.", "Last week {} {} asked why."]
