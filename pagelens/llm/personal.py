@@ -134,6 +134,9 @@ def streets(t: str) -> Iterator[tuple[int, int, str, str, str]]:
     for m in _LAST.finditer(t):
         lead = max(0, m.start() - 80)
         before = t[lead : m.start()]
+        last = before.rstrip().rsplit(None, 1)[-1:]  # the word before must be a name, or "no." or "д." before a door
+        if not last or not (last[0] != last[0].lower() or last[0][0] in "nд\u00ba\u00b0" or "." in last[0]):
+            continue
         if (w := _ENDING.search(before)) and len(end := plain(w[1])) > 5 and (end[-3:] == "str") == bool(w[2]):
             yield lead + w.start(), m.end(), "4", end[-3:], ""
         if w := _AHEAD[0].search(before):
@@ -176,7 +179,8 @@ def candidates(text: str, known: frozenset = STREET_SEEDS) -> Iterator[tuple]:
     mask = bytearray(len(t))  # the signs that belong to a finding
     for start, end in taken:
         mask[start:end] = b"\x01" * (end - start)
-    found = [(start, end) for start, end, *rest in streets(t) if _told(*rest, known)]
+    numbers = _DIGITS.search(t)
+    found = [(start, end) for start, end, *rest in streets(t) if _told(*rest, known)] if numbers else []
     for start, end in sorted(found, key=lambda x: (x[0] - x[1], x[0])):  # the longest first
         if mask.find(1, start, end) < 0:
             mask[start:end] = b"\x01" * (end - start)
@@ -189,7 +193,7 @@ def candidates(text: str, known: frozenset = STREET_SEEDS) -> Iterator[tuple]:
             upto = max(b, upto)
         t = "".join([*pieces, t[upto:]])
     mask = bytearray(len(t))  # the signs of numbers so far
-    for pattern in (_NUMBER, _NUMBER_AFTER, _ALNUM):
+    for pattern in (_NUMBER, _NUMBER_AFTER, _ALNUM) if numbers else ():
         for m in pattern.finditer(t):
             start, end = m.span()
             if "\n" in m[0] and t[end : end + 1] in (".", ")") and len(m[0].rsplit("\n", 1)[1]) <= 3:
@@ -245,7 +249,7 @@ def street_words(units: DataFrame, rounds: int = STREET_ROUNDS) -> frozenset:
         seen: set[tuple] = set()  # of this batch; distinct again below
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in set(batch.column(0).to_pylist()):
                 for start, end, form, word, other in streets(text):
                     before, right = _around(text, start, end)
                     seen.add((form, word, other, " ".join(before[-2:]), "" if right == "$" else right))
