@@ -233,6 +233,8 @@ def candidates(text: str, known: frozenset = STREET_SEEDS) -> Iterator[tuple]:
             yield m.start(), end, "NAME", form, "initial" if pattern is _INITIAL else g, f, " ".join(before[-2:]) or "^", right, seed
 
 
+#: What a text must have to hold a candidate: a digit, a sign of an address, or two capitals.
+MAY_HOLD = r"(?s)[\p{Nd}@＠%&\[({]|\p{Lu}.*\p{Lu}"
 UNIT = "table_name string, row_id long, field string, part int, text string"
 CANDIDATE = "table_name string, row_id long, field string, part int, start int, stop int, value string, kind string, form string, a string, b string, l string, r string, seed string"
 _NAMES = [c.split()[0] for c in CANDIDATE.split(", ")]
@@ -293,7 +295,7 @@ def extract(units: DataFrame, words: frozenset = STREET_SEEDS) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    return units.mapInArrow(run, CANDIDATE)
+    return units.where(F.col("text").rlike(MAY_HOLD)).mapInArrow(run, CANDIDATE)
 
 
 def units_of(documents: DataFrame | None = None, elements: DataFrame | None = None, observations: DataFrame | None = None) -> DataFrame:
