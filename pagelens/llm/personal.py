@@ -59,7 +59,7 @@ STREET_SEEDS = frozenset(
     + [("3", w) for w in ("calle", "c", "avda", "plaza", "rua", "travessa", "avenida", "via", "viale", "piazza", "ul", "al", "ул")]
     + [("4", w) for w in ("sse", "str", "weg", "atz", "aat", "cht", "aan")]
 )
-STREET_ROUNDS = 3
+STREET_ROUNDS = 2
 #: A context is one of addresses from this many known ones and this share of its candidates on; a word
 #: is a street's from this many ways in such contexts and this share of its ways on.
 CONTEXT_LEAST, CONTEXT_SHARE, WORD_LEAST, WORD_SHARE = 2, 0.2, 3, 0.6
@@ -285,15 +285,19 @@ def extract(units: DataFrame, words: frozenset = STREET_SEEDS) -> DataFrame:
         known: dict[str, list[tuple]] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for table, row, field, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at: list[int] = []
+            for i, text in enumerate(batch.column(4).to_pylist()):
                 spans = known.get(text)
                 if spans is None:
                     spans = [(s, e, " ".join(text[s:e].split()), *rest) for s, e, *rest in candidates(text, words)]
-                    if len(text) < 120 and len(known) < 200_000:
+                    if len(text) < 400 and len(known) < 100_000:
                         known[text] = spans
-                rows += [(table, row, field, part, *s) for s in spans]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
+                if spans:
+                    rows += spans
+                    at += [i] * len(spans)
+            own = [batch.column(c).take(pa.array(at, pa.int32())) for c in range(4)]
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES[4:]]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(columns, _KINDS[4:], strict=True)]], _NAMES)
 
     return units.where(F.col("text").rlike(MAY_HOLD)).mapInArrow(run, CANDIDATE)
 
