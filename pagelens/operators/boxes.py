@@ -98,7 +98,11 @@ def overlaps(boxes: DataFrame, least: float, cell: int = 256) -> DataFrame:
     return pairs.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), value.alias("iou")).where(F.col("iou") > least)
 
 
-def suppressed(boxes: DataFrame, most: float = 0.55) -> DataFrame:
+#: Overlap beyond which a box gives way to a better one.
+MOST_OVERLAP = 0.55
+
+
+def suppressed(boxes: DataFrame, most: float = MOST_OVERLAP) -> DataFrame:
     """Greedy suppression: by score downwards a box stays if no kept one of its page overlaps it more.
 
     Boxes has page, id, ord, score, x, y, w, h; ties go to the lower ord. The greedy order
@@ -121,7 +125,8 @@ def suppressed(boxes: DataFrame, most: float = 0.55) -> DataFrame:
             for page, ident, score, *box in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if page != now:
                     now, grid = page, {}
-                cells = [(i, j) for i in range(int(box[0] // 256), int((box[0] + box[2]) // 256) + 1) for j in range(int(box[1] // 256), int((box[1] + box[3]) // 256) + 1)]
+                left, top, right, bottom = (int(max(-64, min(64, v // 256))) for v in (box[0], box[1], box[0] + box[2], box[1] + box[3]))
+                cells = [(i, j) for i in range(left, right + 1) for j in range(top, bottom + 1)]
                 if not any(overlap(box, k) > most for c in cells for k in grid.get(c, ())):
                     for c in cells:
                         grid.setdefault(c, []).append(box)

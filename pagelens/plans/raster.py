@@ -100,6 +100,36 @@ def _faces(spark, d):
     return e.mapInArrow(run, "row_id long, face boolean, path string, confidence double, spread_after double")
 
 
+def _redacted(spark, d):
+    """Each page's screenshot with its face candidates covered, written as PNG and read back.
+
+    inside: whether all that lies in a box is covered; outside: whether all else is as it was.
+    """
+    from pagelens.plans.gate import _faces as candidates
+
+    boxes = candidates(spark, d).groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, image, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before = png.decode(image)
+                mask = raster.mask_of([(b["x"] / SCALE, b["y"] / SCALE, b["w"] / SCALE, b["h"] / SCALE) for b in listed], *before.shape[:2])
+                after = png.decode(png.encode(raster.covered(before, mask)))
+                rows.append((page, len(listed), bool((after[mask] == raster.COVER).all()), bool((after[~mask] == before[~mask]).all())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], ["page", "boxes", "inside", "outside"])
+
+    return screenshots(spark, d).join(boxes, "page").select("page", "image", "b").mapInArrow(run, "page string, boxes long, inside boolean, outside boolean")
+
+
+def _region_checks(spark, d):
+    """What no region may be: out of the image, of a class or confidence that isn't one, or one of more than 100."""
+    r = _regions(spark, d)
+    out = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("w") <= 0) | (F.col("h") <= 0) | (F.col("x") + F.col("w") > WIDTH) | (F.col("y") + F.col("h") > HEIGHT)
+    per = r.groupBy("page").agg(F.count("*").alias("n"), F.count_if(out).alias("out"), F.count_if(~F.col("confidence").between(0.4, 0.96)).alias("unsure"), F.count_if(~F.col("class").endswith("region")).alias("unknown"))
+    return per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("out", "unsure", "unknown")], F.count_if(F.col("n") > 100).alias("many"))
+
+
 def _markup(spark, d):
     t = table(spark, d, "documents").where(F.col("text").rlike("<[A-Za-z]"))  # without this there is no tag to parse
     return markup.elements(t, "doc_id", "text").select(F.col("key").alias("doc_id"), "ord", "parent", "depth", "tag", "path", "text")
@@ -115,11 +145,15 @@ QUERIES = {
     "region_classify": _classify,
     "skin_pixel_mask": _skin,
     "raster_faces_blur": _faces,
+    "raster_redacted": _redacted,
+    "raster_region_checks": _region_checks,
     "dom_html_elements": _markup,
     "dom_html_tags": _paragraphs,
 }
 
 SQL = {
+    # invariants: nothing left to see inside, nothing changed outside; no region that can't be one
+    "raster_region_checks": "SELECT CAST(0 AS BIGINT) AS out, CAST(0 AS BIGINT) AS unsure, CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS many",
     "png_headers": "SELECT DISTINCT perception_cycle_id AS page, 480 AS width, 270 AS height FROM dom_elements WHERE bounds.width > 0 AND bounds.height > 0",
     "region_classify": """
 WITH e AS (SELECT row_id, bounds.width AS w, bounds.height AS h, floor(bounds.width / bounds.height::DOUBLE * 100 + 0.5) / 100 AS a, floor(bounds.width / 1920::DOUBLE * 1000 + 0.5) / 1000 AS rw, floor(bounds.height / 1080::DOUBLE * 1000 + 0.5) / 1000 AS rh,
@@ -133,7 +167,7 @@ SELECT row_id, class, floor(greatest(0.4::DOUBLE, least(0.96::DOUBLE, s * 0.26::
 WITH p AS (SELECT row_id, (bounds.x * 3 + row_id) % 256 AS r, (bounds.y * 5 + row_id * 2) % 256 AS g, (bounds.width * 7 + row_id * 3) % 256 AS b FROM dom_elements WHERE bounds.x IS NOT NULL)
 SELECT row_id, (r > 80 AND g > 30 AND b > 10 AND greatest(r, g, b) - least(r, g, b) > 10 AND abs(r - g) > 10 AND r > g AND r > b) OR (r > 200 AND g > 190 AND b > 145 AND abs(r - g) <= 20 AND r > b AND g > b)
   OR (r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE > 25 AND 128 - r * 0.168736::DOUBLE - g * 0.331264::DOUBLE + b * 0.5::DOUBLE BETWEEN 70 AND 145 AND 128 + r * 0.5::DOUBLE - g * 0.418688::DOUBLE - b * 0.081312::DOUBLE BETWEEN 125 AND 188) AS skin FROM p""",
-    "dom_html_tags": """
-WITH t AS (SELECT text FROM documents WHERE contains(text, '<p>') OR contains(text, '<div>')), m AS (SELECT unnest(regexp_extract_all(text, '<(p|div|br)[ />]', 1)) AS tag FROM t)
+    "dom_html_tags": r"""
+WITH m AS (SELECT lower(unnest(regexp_extract_all(text, '(?i)<(p|div|br)[\s/>]', 1))) AS tag FROM documents)
 SELECT tag, count(*) AS n FROM m GROUP BY 1""",
 }

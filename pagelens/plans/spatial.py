@@ -247,6 +247,14 @@ SELECT b.id, p.box AS inside FROM b LEFT JOIN p ON p.id = b.id AND p.rn = 1 WHER
     "spatial_iou_pairs": f"""
 WITH b AS (SELECT * FROM ({_B}) WHERE w > 0 AND h > 0), p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS shared, a.w * a.h + b.w * b.h AS total FROM b a JOIN b ON a.page = b.page AND a.id < b.id)
 SELECT a, b, floor(shared / (total - shared)::DOUBLE * 1000000 + 0.5) / 1000000 AS iou FROM p WHERE shared / (total - shared)::DOUBLE > 0.1""",
+    # greedy, one box of each page a step
+    "spatial_nms": f"""
+WITH RECURSIVE b AS (SELECT page, id, x, y, w, h, w * h AS score, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, ord) AS r FROM ({_B}) WHERE w > 0 AND h > 0),
+k AS (SELECT page, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(id BIGINT, score INTEGER, x INTEGER, y INTEGER, w INTEGER, h INTEGER)[]) AS kept FROM (SELECT DISTINCT page FROM b)
+  UNION ALL SELECT k.page, b.r, CASE WHEN len(list_filter(kept, lambda q: greatest(0, least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x)) * greatest(0, least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y))
+    > {boxes.MOST_OVERLAP}::DOUBLE * (q.w * q.h + b.w * b.h - greatest(0, least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x)) * greatest(0, least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y))))) = 0
+    THEN list_append(kept, struct_pack(id := b.id, score := b.score, x := b.x, y := b.y, w := b.w, h := b.h)) ELSE kept END FROM k JOIN b ON b.page = k.page AND b.r = k.r + 1)
+SELECT page, u.id AS id, u.score AS score FROM (SELECT page, unnest(arg_max(kept, r)) AS u FROM k GROUP BY 1)""",
     "spatial_coverage": f"""
 WITH v AS ({_valid_sql("x", "y", "w", "h", 1920, 1080, _FLAT + " WHERE tag = 'img'")})
 SELECT e.perception_cycle_id AS page, CAST(sum(v.width * v.height) AS BIGINT) AS area, floor(sum(v.width * v.height) / (1920.0::DOUBLE * 1080) * 10000 + 0.5) / 10000 AS share FROM v JOIN dom_elements e USING (row_id) WHERE v.valid GROUP BY 1""",

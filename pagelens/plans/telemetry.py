@@ -103,6 +103,13 @@ def _trace(spark, d):
     return t.trace(e, "perception_cycle_id", "received_at", ["event", "component", "status", "id"])
 
 
+def _trace_rows(spark, d):
+    """The exported texts read back, row by row."""
+    read = F.from_json("trace", "n long, events array<struct<_rn: int, event: string, component: string, status: string, id: string>>")
+    rows = _trace(spark, d).select("perception_cycle_id", read.alias("t")).select("perception_cycle_id", "t.n", F.explode("t.events").alias("e"))
+    return rows.select("perception_cycle_id", "n", F.col("e._rn").alias("place"), "e.event", "e.component", "e.status", "e.id")
+
+
 def _health(spark, d):
     links = spark.createDataFrame([("link-capture", "M1"), ("link-dom", "M2"), ("link-vision", "M3"), ("link-text", "M4"), ("link-faces", "M5"), ("link-fusion", "M6"), ("link-agent", "AGENT")], "link string, id string")
     last = t.last_values(table(spark, d, "milestones").where("milestone.id is not null").select("update_id", "milestone.id", "milestone.status"), "id", F.col("update_id"), ["status"])
@@ -158,6 +165,7 @@ QUERIES = {
     "tele_asof_vision": _asof_any,
     "tele_dedup_union": _channels,
     "tele_trace_export": _trace,
+    "tele_trace_rows": _trace_rows,
     "tele_health_links": _health,
     "tele_status_badges": _badges,
     "tele_sensitive_fallback": _falsy,
@@ -201,6 +209,9 @@ WITH b AS (SELECT tab_id, timestamp, component, event FROM timeline WHERE timest
 r AS (SELECT tab_id, timestamp AS rt, max(event) AS seen FROM b WHERE component = 'M3_VISION' GROUP BY 1, 2)
 SELECT r.seen AS last_seen, count(*) AS n FROM (SELECT DISTINCT tab_id, timestamp FROM b WHERE component = 'M6_FUSION') l ASOF LEFT JOIN r ON l.tab_id = r.tab_id AND l.timestamp >= r.rt GROUP BY 1""",
     "tele_dedup_union": "SELECT n, count(*) AS ids FROM (SELECT lower(trim(id)) AS id, count(*) AS n FROM timeline WHERE trim(id) <> '' AND batch_id IS NOT NULL GROUP BY 1) GROUP BY 1",
+    "tele_trace_rows": """
+WITH r AS (SELECT perception_cycle_id, event, component, status, id, CAST(row_number() OVER (PARTITION BY perception_cycle_id ORDER BY received_at DESC NULLS LAST, event NULLS FIRST, component NULLS FIRST, status NULLS FIRST, id NULLS FIRST) AS INTEGER) AS place FROM timeline WHERE perception_cycle_id IS NOT NULL)
+SELECT perception_cycle_id, least(count(*) OVER (PARTITION BY perception_cycle_id), 250) AS n, place, event, component, status, id FROM r QUALIFY place <= 250""",
     "tele_health_links": """
 WITH s AS (SELECT milestone.id AS id, arg_max(milestone.status, update_id) FILTER (milestone.status IS NOT NULL) AS status FROM milestones WHERE milestone.id IS NOT NULL GROUP BY 1)
 SELECT l.link, coalesce(s.status, 'waiting') AS status FROM (VALUES ('link-capture', 'M1'), ('link-dom', 'M2'), ('link-vision', 'M3'), ('link-text', 'M4'), ('link-faces', 'M5'), ('link-fusion', 'M6'), ('link-agent', 'AGENT')) l(link, id) LEFT JOIN s ON s.id = l.id""",

@@ -136,13 +136,18 @@ def ingested(stream: DataFrame, payload: str, most: int = MOST_BODY, name: str |
     spark = stream.sparkSession
     at = place(spark, "ingest", name)
 
+    def routed(df: DataFrame) -> DataFrame:
+        ok = F.coalesce((F.octet_length(payload) <= most) & F.try_parse_json(payload).isNotNull(), F.lit(False))
+        return telemetry.routed(df.withColumn("_ok", ok), payload)
+
     def each(batch: DataFrame, epoch: int) -> None:
-        checked = batch.withColumn("_ok", F.coalesce((F.octet_length(payload) <= most) & F.try_parse_json(payload).isNotNull(), F.lit(False)))
-        telemetry.routed(checked, payload).write.mode("overwrite").partitionBy("_ok").parquet(f"{at}/out/epoch={epoch}")
+        routed(batch).write.mode("overwrite").partitionBy("_ok").parquet(f"{at}/out/{epoch}")
 
     _run(stream, at, "append", each)
-    out = spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out/*")
-    return out.where("_ok = 'true'").drop("_ok", "epoch"), out.where("_ok != 'true'").drop("_ok", "epoch")
+    out = spark.createDataFrame([], routed(stream).schema)
+    for e in _epochs(spark, f"{at}/out"):
+        out = out.unionByName(spark.read.schema(out.schema).parquet(f"{at}/out/{e}"))
+    return out.where("_ok").drop("_ok"), out.where("not _ok").drop("_ok")
 
 
 def windows(stream: DataFrame, time: str, group: str, value: Column, width: str = "1 day", name: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagelens.streaming import streams as s
@@ -20,7 +22,7 @@ A, B, C = [("a", 1, "x"), ("b", 2, None)], [("a", 3, None), ("b", 4, "y")], [("a
 
 
 def test_a_named_query_goes_on_where_it_stopped(spark, tmp_path):
-    name = tmp_path.name
+    name = uuid.uuid4().hex
     run = lambda: sorted(map(tuple, s.last_values(stream(spark, tmp_path), "k", F.col("n"), ["v"], name).collect()))
     newest = lambda: sorted(r.n for r in s.history(stream(spark, tmp_path), [F.col("n").desc()], 3, name).collect())
     files(spark, tmp_path, (1, A), (2, B))
@@ -34,10 +36,11 @@ def test_a_named_query_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_relay_passes_each_row_once(spark, tmp_path):
+    name = uuid.uuid4().hex
     files(spark, tmp_path, (1, A), (2, B))
-    assert s.relayed(stream(spark, tmp_path), tmp_path.name).count() == 4
+    assert s.relayed(stream(spark, tmp_path), name).count() == 4
     files(spark, tmp_path, (3, C))
-    assert s.relayed(stream(spark, tmp_path), tmp_path.name).count() == 7
+    assert s.relayed(stream(spark, tmp_path), name).count() == 7
 
 
 def test_bodies_are_measured_in_bytes(spark, tmp_path):
