@@ -118,26 +118,22 @@ def streets(t: str) -> Iterator[tuple[int, int, str, str, str]]:
     other: a word beside it that explains the candidate away if it is a street's itself.
     """
     for m in _HOUSE.finditer(t):
-        words, at = [], m.end()
-        while len(words) < 5 and (w := _STREET_WORD.match(t, at)):
-            words.append(w)
-            at = w.end()
-            if w[2] or not w[3]:
+        one = last = _STREET_WORD.match(t, m.end())
+        for _ in range(4):
+            if not last[0][0].isupper() or last[2] or not last[3] or not (w := _STREET_WORD.match(t, last.end())):
                 break
-        for k in range(1, len(words)):
-            if not words[k - 1][0][0].isupper():
-                break
-            word = plain(words[k][1])
-            yield m.start(), words[k].end(2 if word in DOTTED else 1), "1", word, plain(words[k - 1][1])
-        if words and (link := _LINK.match(t, words[0].end(1))) and (own := _OWN_WORD.match(t, link.end())):
-            yield m.start(), own.end(), "2", plain(words[0][1]), plain(own[0])
+            word = plain(w[1])
+            yield m.start(), w.end(2 if word in DOTTED else 1), "1", word, plain(last[1])
+            last = w
+        if (link := _LINK.match(t, one.end(1))) and (own := _OWN_WORD.match(t, link.end())):
+            yield m.start(), own.end(), "2", plain(one[1]), plain(own[0])
     for m in _LAST.finditer(t):
         lead = max(0, m.start() - 80)
         before = t[lead : m.start()]
         last = before.rstrip().rsplit(None, 1)[-1:]  # the word before must be a name, or "no." or "д." before a door
         if not last or not (last[0] != last[0].lower() or last[0][0] in "nд\u00ba\u00b0" or "." in last[0]):
             continue
-        if (w := _ENDING.search(before)) and len(end := plain(w[1])) > 5 and (end[-3:] == "str") == bool(w[2]):
+        if (w := _ENDING.search(before, len(before.rstrip()) - len(last[0]))) and len(end := plain(w[1])) > 5 and (end[-3:] == "str") == bool(w[2]):
             yield lead + w.start(), m.end(), "4", end[-3:], ""
         if w := _AHEAD[0].search(before):
             yield lead + w.start(2), m.end(), "3", plain(w[2]), plain(w[1] or "")
@@ -249,9 +245,12 @@ def street_words(units: DataFrame, rounds: int = STREET_ROUNDS) -> frozenset:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()  # of this batch; distinct again below
+        known: set[str] = set()  # texts that were read before
 
         for batch in batches:
-            for text in set(batch.column(0).to_pylist()):
+            for text in set(batch.column(0).to_pylist()) - known:
+                if len(text) < 400 and len(known) < 100_000:
+                    known.add(text)
                 for start, end, form, word, other in streets(text):
                     before, right = _around(text, start, end)
                     seen.add((form, word, other, " ".join(before[-2:]), "" if right == "$" else right))
