@@ -128,6 +128,9 @@ def streets(t: str) -> Iterator[tuple[int, int, str, str, str]]:
         if (link := _LINK.match(t, one.end(1))) and (own := _OWN_WORD.match(t, link.end())):
             yield m.start(), own.end(), "2", plain(one[1]), plain(own[0])
     for m in _LAST.finditer(t):
+        sign = t[m.start() - 2 : m.start() - 1]
+        if not (sign.isalpha() or sign in ",.\u00ba\u00b0" or sign.isspace()):
+            continue
         lead = max(0, m.start() - 80)
         before = t[lead : m.start()]
         last = before.rstrip().rsplit(None, 1)[-1:]  # the word before must be a name, or "no." or "д." before a door
