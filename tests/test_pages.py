@@ -71,12 +71,26 @@ def test_gate_is_closed_for_leaks(spark):
     assert leaks("1234 5678 9012 3456", []) == ["card_number"] and leaks("sk-" + "a" * 24, []) == ["api_key"] and leaks("a button", ["button"]) == []
 
 
-def test_trail_and_streaks(spark):
-    assert one(spark, trajectory.trail(F.array(*[F.lit(x) for x in "ABCBDD"]))) == ["A", "B", "D"]
+def test_streaks(spark):
     s = spark.createDataFrame([(1, i, "a", x) for i, x in enumerate("ppqqqp", 1)], "task int, seq int, action string, state string")
     assert [r.streak for r in trajectory.streaks(s).orderBy("seq").collect()] == [1, 2, 1, 2, 3, 1]
 
 
+def test_first_seen_depths_caps_and_versions(spark):
+    s = spark.createDataFrame([(1, i, "a" if i < 3 else "done", x, f"u{i}") for i, x in enumerate(["p", "q", "p", "", "r"], 1)], "task int, seq int, action string, state string, url string")
+    seen = {r.state: (r.parent, r.depth, r.url, r.visits) for r in trajectory.first_seen(s).collect()}
+    assert seen == {"p": (None, 0, "u3", 2), "q": ("p", 1, "u2", 1), "": ("p", 1, "u4", 1), "r": ("", 2, "u5", 1)}
+    assert [tuple(r) for r in trajectory.capped(s, 2).collect()] == [(1, 2, "max_iterations")] and trajectory.capped(s).first().status == "done"
+    pages = spark.createDataFrame([("g", 1, "u", "m"), ("g", 2, "u", "m"), ("g", 3, "u", "n"), ("g", 4, None, "n"), ("g", 5, None, "n")], "grp string, seq int, url string, mark string")
+    assert [r.version for r in trajectory.versions(pages).orderBy("seq").collect()] == [1, 1, 2, 3, 3]
+
+
+def test_covers_stay_in_the_image():
+    image = np.zeros((4, 6, 4), np.uint8)
+    mask = raster.mask_of([(-5, -5, 7, 6), (4.5, 2.2, 100, 100), (1, 1, 0, 3)], 4, 6)
+    assert mask.sum() == 2 + 2 * 2 and (raster.covered(image, mask)[mask] == raster.COVER).all() and not image.any()
+
+
 def test_breadcrumbs_match_the_stack(spark):
     rng = np.random.default_rng(6)
     runs = [[str(x) for x in rng.integers(0, 6, rng.integers(1, 25))] for _ in range(40)]
